@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, packing, syncmers, toxicity
+from . import ann, bpe, html_text, packing, suffix_dedup, syncmers, toxicity
 from .shared import table
 
 
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": op3_html_text,
         "op4_syncmers": op4_syncmers,
         "op5_toxicity": op5_toxicity,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op9_bpe": op9_bpe,
         "op10_neighbours": op10_neighbours,
     }
