@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, packing, suffix_dedup, syncmers, toxicity
+from . import ann, bpe, html_text, jaccard_join, packing, suffix_dedup, syncmers, toxicity
 from .shared import table
 
 
@@ -39,6 +39,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_syncmers": op4_syncmers,
         "op5_toxicity": op5_toxicity,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_bpe": op9_bpe,
         "op10_neighbours": op10_neighbours,
     }

@@ -57,3 +57,27 @@ def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         held += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def groups(batches: Iterator, *keys: str) -> Iterator:
+    """The whole groups of rows (as pandas frames) with equal keys; the rows come sorted by them, in Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    held = None
+    for batch in batches:
+        part = batch.to_pandas()
+        if held is not None:
+            part = pd.concat([held, part], ignore_index=True)
+        if not len(part):
+            continue
+        change = np.zeros(len(part) - 1, bool)
+        for k in keys:
+            column = part[k].to_numpy()
+            change |= column[1:] != column[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for start, end in zip(edges, edges[1:], strict=False):
+            yield part.iloc[start:end]
+        held = part.iloc[edges[-1] :]
+    if held is not None and len(held):
+        yield held
