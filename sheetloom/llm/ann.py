@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 CENTROIDS, SAMPLE, ROUNDS = 128, 16_384, 12
 TARGET = 0.96
 SHARES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8, 1.0)
@@ -35,6 +37,7 @@ BLOCK, TOGETHER = 8192, 256
 
 def usable(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v): the vectors that take part, in double precision."""
+    small_batches(rows.sparkSession)
     v = F.col("v")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.exists(v, lambda x: x != 0)
     found = rows.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine)

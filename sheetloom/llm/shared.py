@@ -38,6 +38,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few megabytes, so that a worker's memory doesn't depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns alone, so that further columns of a table can't clash with those an operator adds."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))

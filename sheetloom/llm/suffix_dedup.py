@@ -27,19 +27,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import staged
+from .shared import small_batches, staged
 from .suffix_core import Hashes, matched, runs, sampled
 
 SIZE, K = 400, 128
 #: Bytes put into one suffix order, and unlike neighbourhoods of an anchor that come together, at most.
-BLOCK, BUCKET = 400_000, 4096
+BLOCK, BUCKET = 300_000, 1024
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and rid, by which a row is found again."""
+    """doc_id, text, rid, by which a row is found again, and the other columns as `rest`."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "text")])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), rest.alias("rest")).withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
 def shrunk(rows: DataFrame) -> DataFrame:
@@ -49,9 +52,13 @@ def shrunk(rows: DataFrame) -> DataFrame:
         for batch in batches:
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             packed = [pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(list(map(len, raw)), pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "rid", "n_bytes", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(list(map(len, raw)), pa.int64()), pa.array(packed, pa.binary()), *[batch.column(c) for c in rest]], names=["doc_id", "rid", "n_bytes", "packed", *rest])
 
-    return rows.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, n_bytes long, packed binary")
+    rest = [c for c in rows.columns if c == "rest"]
+    schema = T.StructType().add("doc_id", "long").add("rid", "long").add("n_bytes", "long").add("packed", "binary")
+    for c in rest:
+        schema = schema.add(rows.schema[c])
+    return rows.select("doc_id", "rid", "text", *rest).mapInArrow(run, schema)
 
 
 def opened(packed: bytes, n: int) -> bytes:
@@ -106,7 +113,7 @@ def repeated(docs: DataFrame, size: int = SIZE, k: int = K, bucket: int = BUCKET
     sizes = unlike.groupBy("a").count().select("a", (F.col("count") > bucket).alias("large"))
     asked = unlike.join(sizes, "a").select(F.col("example.rid").alias("rid"), F.struct("a", F.col("example.w").alias("w"), "large").alias("at"))
     asked = asked.groupBy("rid").agg(F.collect_list("at").alias("at"))
-    texts = shrunk(rows).join(asked, "rid")
+    texts = shrunk(rows.drop("rest")).join(asked, "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbourhoods as rows; those of large buckets window by window, with the window's hash and no bytes."""
@@ -206,12 +213,13 @@ def covered(spans: list, n: int, size: int, keep: str) -> np.ndarray:
 
 
 def cleaned(docs: DataFrame, size: int = SIZE, keep: str = "none", k: int = K, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, rid, n_bytes, n_removed, n_spans, kept) of each row; kept: the bytes that stay, in order."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, rest) of each row; kept: the bytes that stay, in order; rest: a struct
+    of the columns besides doc_id and text, their names after c_."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
     spans = repeated(docs, size, k, bucket).withColumnRenamed("rid", "of")
     texts = shrunk(keyed(docs))
-    joined = texts.join(spans, F.col("rid") == F.col("of"), "left").select("doc_id", "rid", "n_bytes", "packed", "spans")
+    joined = texts.join(spans, F.col("rid") == F.col("of"), "left").select("doc_id", "n_bytes", "packed", "spans", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +230,27 @@ def cleaned(docs: DataFrame, size: int = SIZE, keep: str = "none", k: int = K, b
                 n_removed.append(int(gone.sum()))
                 n_spans.append(len(runs(gone)))
                 left.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if n_spans[-1] else raw)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), batch.column("n_bytes"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(left, pa.binary())], names=["doc_id", "rid", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(left, pa.binary()), batch.column("rest")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
-    return joined.mapInArrow(run, "doc_id long, rid long, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary").add(texts.schema["rest"])
+    return joined.mapInArrow(run, schema)
+
+
+def first_kept(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """docs, all columns, with all but the first occurrence of each repeated passage removed. A character that a cut
+    went through goes, too; n_chars, if there, is counted anew."""
+
+    out = cleaned(docs, size, "first")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), batch.column("rest")], names=["doc_id", "text", "rest"])
+
+    out = out.select("doc_id", "kept", "rest").mapInArrow(read, T.StructType().add("doc_id", "long").add("text", "string").add(out.schema["rest"]))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`c_{c}`").alias(c) for c in docs.columns]
+    out = out.select(*columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def digests(docs: DataFrame) -> DataFrame:
