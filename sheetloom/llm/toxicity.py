@@ -16,20 +16,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, slices
+from .shared import only, slices, small_batches
 
 WINDOW, STEP = 48, 32
 OWN, HIDDEN, BUCKETS = 8, 8, 1 << 16
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows to train on, at most, by label.
-TOXIC, CLEAN = 1500, 3000
+TOXIC, CLEAN = 1200, 2400
 REMEMBERED, TOGETHER = 250_000, 3_000_000
 WORD = re.compile(r"\w+")
 f32 = np.float32
@@ -95,10 +95,13 @@ class Network:
         return Network(p | {"wa": draw(2 * HIDDEN, HIDDEN), "ba": np.zeros(HIDDEN, f32), "va": draw(HIDDEN), "wo": draw(2 * HIDDEN), "bo": np.zeros(1, f32)})
 
     def inputs(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros((0, 2 * OWN), f32)
-        buckets, first = gram_buckets(words)
-        return np.hstack([self.p["own"][word_buckets(words)], np.maximum.reduceat(self.p["gram"][buckets], first, axis=0)])
+        out = np.zeros((len(words), 2 * OWN), f32)
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            buckets, first = gram_buckets(part)
+            out[i : i + len(part), :OWN] = self.p["own"][word_buckets(part)]
+            out[i : i + len(part), OWN:] = np.maximum.reduceat(self.p["gram"][buckets], first, axis=0)
+        return out
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """What the words give to the gates, for both directions; the last row is for no word."""
@@ -170,7 +173,7 @@ class Network:
     # -- texts ----------------------------------------------------------------------------------------------
 
     def logits(self, given: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(given, rows[i : i + 4096]) for i in range(0, len(rows), 4096)]) if len(rows) else np.zeros(0, f32)
+        return np.concatenate([self.forward(given, rows[i : i + 2048]) for i in range(0, len(rows), 2048)]) if len(rows) else np.zeros(0, f32)
 
     def score(self, logit: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale[0] * logit.astype(float) + self.scale[1])
@@ -185,7 +188,7 @@ def rows_of(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             starts.append(base + a)
             lengths.append(b - a)
         base += len(x)
-    whole = np.concatenate([*numbers, np.full(WINDOW, -1, np.int64)])
+    whole = np.concatenate([*numbers, np.full(WINDOW, -1)]).astype(np.int32)
     rows = whole[np.array(starts)[:, None] + np.arange(WINDOW)]
     return np.where(np.arange(WINDOW) < np.array(lengths)[:, None], rows, -1), np.array(owners)
 
@@ -196,7 +199,7 @@ def highest(logit: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def log_odds(buckets: list[np.ndarray], y: np.ndarray, weight: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(buckets: Iterable[np.ndarray], y: np.ndarray, weight: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Of each bucket the shrunken log-odds of the label, and whether enough texts have it to learn from."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     seen = np.zeros((2, BUCKETS))
@@ -208,21 +211,29 @@ def log_odds(buckets: list[np.ndarray], y: np.ndarray, weight: float = 4.0) -> t
 
 def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48, rate: float = 0.01) -> Network:
     y = np.array(labels, int)
-    said = [words_of(t) for t in texts]
-    vocabulary = sorted({w for s in said for w in s})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    texts_as = [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in said]
+    number: dict[str, int] = {}
+    texts_as = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
     if not vocabulary or y.min() == y.max():
         net = Network.fresh(NOTHING, NOTHING)
         net.scale = (0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
         return net
-    grams, first = gram_buckets(vocabulary)
-    gram_word = np.repeat(np.arange(len(vocabulary)), np.diff(np.append(first, len(grams))))
+    blocks = [gram_buckets(vocabulary[i : i + 10_000]) for i in range(0, len(vocabulary), 10_000)]
+    grams = np.concatenate([b.astype(np.int32) for b, _ in blocks])
+    n_grams = np.concatenate([np.diff(np.append(f, len(b))) for b, f in blocks])
+    del blocks
+    first = np.cumsum(n_grams) - n_grams
+
+    def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of some words, by their place in `grams`, and whose they are."""
+        n = n_grams[words]
+        return np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(words)), n)
+
     own = word_buckets(vocabulary)
-    per_word = np.split(grams, first[1:])
     distinct = [np.unique(x) for x in texts_as]
-    own_odds = log_odds([own[x] for x in distinct], y)
-    gram_odds = log_odds([np.concatenate([per_word[i] for i in x]) if len(x) else np.zeros(0, np.int64) for x in distinct], y)
+    own_odds = log_odds((own[x] for x in distinct), y)
+    gram_odds = log_odds((grams[grams_of(x)[0]] for x in distinct), y)
     net = Network.fresh(own_odds, gram_odds)
     rows, owner = rows_of(texts_as)
     at = np.searchsorted(owner, np.arange(len(texts) + 1))
@@ -249,8 +260,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
         words, local = np.unique(part, return_inverse=True)
         words = words[words >= 0]
         local = local.reshape(part.shape) - (part.min() < 0)
-        here = np.flatnonzero(np.isin(gram_word, words))
-        of = np.searchsorted(words, gram_word[here])
+        here, of = grams_of(words)
         shown = rng.random(len(words)) < 0.5  # spelling has to do for the other half
         vectors = net.p["gram"][grams[here]]
         x = np.hstack([net.p["own"][own[words]] * shown[:, None], np.maximum.reduceat(vectors, np.searchsorted(of, np.arange(len(words))), axis=0)]).astype(f32)
@@ -352,4 +362,5 @@ def kept(docs: DataFrame, net: Network) -> DataFrame:
             s = scorer.scores([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(s < 0.5))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
