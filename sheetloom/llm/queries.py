@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, jaccard_join, packing, suffix_dedup, syncmers, toxicity
+from . import ann, bpe, html_text, jaccard_join, line_dedup, packing, suffix_dedup, syncmers, toxicity
 from .shared import table
 
 
@@ -17,6 +18,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: how many lines it has, how many of them repeat, and a digest of the text that is left."""
+    out = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -54,6 +61,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_packing": op2_packing,
         "op3_html_text": op3_html_text,
         "op4_syncmers": op4_syncmers,
