@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, jaccard_join, line_dedup, packing, suffix_dedup, syncmers, toxicity
+from . import ann, bpe, html_text, jaccard_join, licenses, line_dedup, packing, suffix_dedup, syncmers, toxicity
 from .shared import table
 
 
@@ -46,6 +46,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_syncmers": op4_syncmers,
         "op5_toxicity": op5_toxicity,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_licenses": op7_licenses,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_bpe": op9_bpe,
         "op10_neighbours": op10_neighbours,
