@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FAR = 999
 
@@ -48,15 +49,21 @@ def zero_tolerant(a: Column, b: Column) -> Column:
     return (a == b) | ((F.length(longer) == F.length(shorter) + 1) & one_less)
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratio(a: Column, b: Column) -> Column:
     """Twice the matched characters over all, by longest matching blocks."""
+    return F.pandas_udf(_ratio, T.DoubleType())(a, b)
+
+
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """ratio, in hundredths, of the texts with their words in order: 2 * common subsequence over both lengths."""
+def sorted_ratio(a: Column, b: Column) -> Column:
+    """In hundredths, of the texts with their words in order: twice the longest common subsequence over both lengths."""
+    return F.pandas_udf(_sorted_ratio, T.DoubleType())(a, b)
+
+
+def _sorted_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 100 * indel(" ".join(sorted(x.split())), " ".join(sorted(y.split()))) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
@@ -95,15 +102,20 @@ def aligned(a: str, b: str, gap: float = 1.0, costs: dict[tuple[str, str], float
     return table[-1][-1], pairs[::-1]
 
 
-@F.pandas_udf("array<struct<expected: string, found: string>>")
-def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
+def alignment(a: Column, b: Column) -> Column:
+    """The pairs of `aligned` as an array of structs."""
+    kind = T.ArrayType(T.StructType().add("expected", "string").add("found", "string"))
+    return F.pandas_udf(_alignment, kind)(a, b)
+
+
+def _alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else [{"expected": p, "found": q} for p, q in aligned(x, y)[1]] for x, y in zip(a, b, strict=True)])
 
 
 def channel_cost(costs: dict[tuple[str, str], float], gap: float = 1.0):
     """An Arrow function: the alignment's cost under known substitution costs (a bounded table of character pairs)."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else aligned(x, y, gap, costs)[0] for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -56,9 +56,12 @@ def order_number_loose(c: Column, width: int = 6) -> Column:
 
 def zero_variants(c: Column, places: int = 3, most: int = 8) -> Column:
     """The text with each choice of O for 0 and 0 for O among its first few such places; itself first."""
+    def both(k: int):
+        return lambda v: F.array(v, swap(v, F.lit(k)))
+
     out = F.array(c)
     for k in range(1, places + 1):
-        out = F.flatten(F.transform(out, lambda v, k=k: F.array(v, swap(v, F.lit(k)))))
+        out = F.flatten(F.transform(out, both(k)))
     return F.slice(F.array_distinct(out), 1, most)
 
 

@@ -138,7 +138,7 @@ def posterior(scored: DataFrame, plan_size: int, temperature: float = 2.5, null_
     rest = F.greatest(F.lit(plan_size) - F.col("n"), F.lit(0)) * F.pow(F.lit(2.0), rest_l)
     z = F.col("z") + null + rest
     plain = F.log2(z) - (F.col("wl") + null * F.log2(null) + rest * rest_l) / z
-    return g.select("row_id", F.round(F.col("own") / z, 6).alias("p_of"), F.round(null / z, 6).alias("p_null"), F.round(F.greatest(plain, F.lit(0.0)), 6).alias("entropy"))
+    return g.select("row_id", F.round(F.col("own") / z, 9).alias("p_of"), F.round(null / z, 9).alias("p_null"), F.round(F.greatest(plain, F.lit(0.0)), 6).alias("entropy"))
 
 
 def logistic(margin: Column, bits: Column, temperature: float = 3.0, outside: float = 4.0) -> Column:

@@ -72,11 +72,10 @@ def l7(spark: SparkSession, d: str) -> DataFrame:
     "l8_posterior",
     f"""{BASE}, s AS (SELECT *, MAX(bits) OVER (PARTITION BY row_id) AS mx, MAX(CASE WHEN place = 1 THEN of END) OVER (PARTITION BY row_id) AS wof FROM ranked),
  g AS (SELECT row_id, mx, SUM(pow(2.0, (bits - mx) / 2.5)) AS z, SUM(CASE WHEN of = wof THEN pow(2.0, (bits - mx) / 2.5) END) AS own, COUNT(*) AS k FROM s GROUP BY ALL), t AS (SELECT *, 0.059::DOUBLE / 0.941::DOUBLE * pow(2.0, (2.0 - mx) / 2.5) AS nul, GREATEST((SELECT COUNT(*) FROM p) - k, 0) * pow(2.0, (-8.0 - mx) / 2.5) AS rest FROM g)
- SELECT row_id, ROUND(ROUND(own / (z + nul + rest), 6), 4) AS p_of, ROUND(ROUND(nul / (z + nul + rest), 6), 4) AS p_null FROM t""",
+ SELECT row_id, ROUND(own / (z + nul + rest), 9) AS p_of, ROUND(nul / (z + nul + rest), 9) AS p_null FROM t""",
 )
 def l8(spark: SparkSession, d: str) -> DataFrame:
-    out = linkage.posterior(scored(spark, d), read(spark, d, "part").count())
-    return out.select("row_id", F.round("p_of", 4).alias("p_of"), F.round("p_null", 4).alias("p_null"))
+    return linkage.posterior(scored(spark, d), read(spark, d, "part").count()).select("row_id", "p_of", "p_null")
 
 
 @query("l12_cells", f"""{BASE}, b AS (SELECT row_id, of FROM ranked WHERE place = 1), c AS (SELECT row_id, r.of AS a, b.of AS x, {SIM.format(a="r.of", b="b.of")} AS s FROM r LEFT JOIN b USING (row_id))
