@@ -23,12 +23,13 @@ they have no words). A component's id is its least doc_id; rows without a doc_id
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -36,9 +37,9 @@ from .shared import groups, only, slices, staged
 from .shingles import shingle_sets
 
 PERCENT, WORDS = 80, 5
-GROUPS, FAN, HEAD = 64, 16, 8
+GROUPS, FINE, FAN, HEAD = 64, 512, 16, 8
 #: Texts hashed together (characters), share of the hashes counted first, hashes in a range, texts of a block.
-TOGETHER, SHARE, RANGE, BLOCK = 4_000_000, 0.4, 2_000_000, 512
+TOGETHER, SHARE, RANGE, BLOCK = 1_000_000, 0.4, 2_000_000, 512
 U = np.uint64
 
 
@@ -111,45 +112,79 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (total ^ (total >> U(30))).view(np.int64)
 
 
-def range_rows(h: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, ranges: int) -> list[tuple]:
-    """(range, keys, counts, hashes) blobs: of each set the hashes below `share`, in each of the hash ranges."""
+#: Of a chunk of texts: rows of its texts, with their place in it and how many hashes are counted; and its hashes in
+#: each range, as 32 bits of the place there, with whose they are as pairs of 16 bits (text, how many).
+COUNTED = "doc_id long, key long, n long, chunk long, place int, had int, range long, whose binary, hashes binary"
+CHUNK = 4000
+
+
+def counted(ids: pa.Array, h: np.ndarray, at: np.ndarray, keys: np.ndarray, share: float, ranges: int) -> Iterator[pa.RecordBatch]:
+    """COUNTED rows of texts (at most CHUNK): the hashes below `share` of the largest, in equal ranges."""
+    chunk, total = int.from_bytes(os.urandom(7), "big"), len(keys)
     limit = U(min(2**64 - 1, int(share * 2**64)))
-    own = np.repeat(np.arange(len(keys)), np.diff(at))
+    own = np.repeat(np.arange(total), np.diff(at))
     low = h < limit
     h, own = h[low], own[low]
+    had = np.bincount(own, minlength=total)
     step = limit // U(ranges) + U(1)
     where = h // step
     order = np.argsort(where, kind="stable")
     h, own, where = h[order], own[order], where[order]
-    edges = np.searchsorted(where, np.arange(ranges + 1, dtype=np.uint64))
-    shift = U(max(0, int(step).bit_length() - 32))  # 32 bits of the place in the range
+    filled, first = np.unique(where, return_index=True)
+    shift = U(max(0, int(step).bit_length() - 32))
     out = []
-    for r in range(ranges):
-        part, who = h[edges[r] : edges[r + 1]], own[edges[r] : edges[r + 1]]
-        n = np.bincount(who, minlength=len(keys)).astype("<u4")
-        out.append((r, keys.astype("<i8").tobytes(), n.tobytes(), ((part - U(r) * step) >> shift).astype("<u4").tobytes()))
-    return out
-
-
-RANGES = "range long, keys binary, counts binary, hashes binary"
-
-
-def shared_counts(blobs: DataFrame) -> DataFrame:
-    """(key, had, shared): of each set the hashes counted, and those that another set has, too."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    for r, start, end in zip(filled.tolist(), first.tolist(), [*first.tolist(), len(h)][1:], strict=True):
+        text, n = np.unique(own[start:end], return_counts=True)
+        while len(text) and n.max() > 65_535:  # longer runs in parts
+            text, n = np.concatenate([text, text[n > 65_535]]), np.concatenate([np.minimum(n, 65_535), n[n > 65_535] - 65_535])
+            again = np.argsort(text, kind="stable")
+            text, n = text[again], n[again]
+        out.append((r, np.column_stack([text, n]).astype("<u2").tobytes(), ((h[start:end] - U(r) * step) >> shift).astype("<u4").tobytes()))
+    k = len(out)
+    columns = [pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(k, pa.int64())])]
+    columns += [pa.array([*c.tolist(), *[None] * k], t) for c, t in ((keys, pa.int64()), (np.diff(at), pa.int64()))]
+    columns += [pa.array([chunk] * (total + k), pa.int64()), pa.array([*range(total), *[None] * k], pa.int32()), pa.array([*had.tolist(), *[None] * k], pa.int32())]
+    columns += [pa.array([*[None] * total, *(x[i] for x in out)], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+    yield pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in COUNTED.split(", ")])
+
+
+def maybe_linked(rows: DataFrame, percent: int) -> DataFrame:
+    """The text rows among COUNTED rows (staged) of whose counted hashes so many occur in another text, too, that it may link."""
+
+    def shared(group: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(group["hashes"]), "<u4")
-        keys, counts = np.frombuffer(b"".join(group["keys"]), "<i8"), np.frombuffer(b"".join(group["counts"]), "<u4").astype(np.int64)
         order = np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         again = np.zeros(len(h), bool)
         again[order[1:]] = same
         again[order[:-1]] |= same
-        shared = np.concatenate([[0], np.cumsum(again)])
-        ends = np.cumsum(counts)
-        return pd.DataFrame({"key": keys, "had": counts, "shared": shared[ends] - shared[ends - counts]})
-
-    return blobs.groupBy("range").applyInPandas(run, "key long, had long, shared long").groupBy("key").agg(F.sum("had").alias("had"), F.sum("shared").alias("shared"))
+        sums = np.concatenate([[0], np.cumsum(again)])
+        chunks, out, end = [], [], 0
+        for chunk, whose in zip(group["chunk"], group["whose"], strict=True):
+            text, n = np.frombuffer(whose, "<u2").reshape(-1, 2).astype(np.int64).T
+            ends = end + np.cumsum(n)
+            found = sums[ends] - sums[ends - n]
+            end = int(ends[-1])
+            if found.any():
+                chunks.append(chunk)
+                out.append(np.column_stack([text[found > 0], found[found > 0]]).astype("<u2").tobytes())
+        return pd.DataFrame({"chunk": np.array(chunks, np.int64), "whose": out})
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        text, n = np.frombuffer(b"".join(group["whose"]), "<u2").reshape(-1, 2).astype(np.int64).T
+        total = np.bincount(text, weights=n).astype(np.int64)
+        place = np.flatnonzero(total)
+        return pd.DataFrame({"chunk": int(group["chunk"].iat[0]), "place": place.astype(np.int32), "shared": total[place]})
+
+    blobs = rows.where("range is not null").select("range", "chunk", "whose", "hashes")
+    counts = blobs.groupBy("range").applyInPandas(shared, "chunk long, whose binary").groupBy("chunk").applyInPandas(summed, "chunk long, place int, shared long")
+    texts = rows.where("range is null and n > 0").join(counts, ["chunk", "place"], "left")
+    return texts.where(F.coalesce("shared", F.lit(0)) >= F.col("had") - unshared(percent))
+
+
+def unshared(percent: int) -> Column:
+    """At most so many of the n shingles of a text that links are not the other text's."""
+    return F.floor((100 - percent) * F.col("n") / 100).cast("long")
 
 
 def linked_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -161,41 +196,31 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, words: int = WORD
     ranges = max(4, -(-int(rows * 500 * SHARE) // RANGE))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, with its set's key and size, and the blobs of many texts by hash range."""
         for batch in batches:
             said = [t or "" for t in batch.column(1).to_pylist()]
             for start, end in slices(said, 2 * TOGETHER):
-                h, at = shingle_sets(said[start:end], words)
-                keys, n = set_keys(h, at), np.diff(at)
-                blobs = range_rows(h, at, keys, SHARE, ranges)
-                k, nothing = len(keys), [None]
-                columns = [pa.concat_arrays([batch.column(0).slice(start, k), pa.nulls(ranges, pa.int64())]), pa.array([*n.tolist(), *nothing * ranges], pa.int64()), pa.array([*keys.tolist(), *nothing * ranges], pa.int64())]
-                columns += [pa.array([*nothing * k, *c], t) for c, t in zip(zip(*blobs, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "range", "keys", "counts", "hashes"])
-
-    both = staged(source.mapInArrow(first, f"doc_id long, n long, key long, {RANGES}"), "shingles")
+                for s in range(start, end, CHUNK):
+                    part = said[s : min(end, s + CHUNK)]
+                    h, at = shingle_sets(part, words)
+                    yield from counted(batch.column(0).slice(s, len(part)), h, at, set_keys(h, at), SHARE, ranges)
+
+    both = staged(source.mapInArrow(first, COUNTED), "shingles")
     texts = both.where("range is null").select("doc_id", "n", "key")
     classes = texts.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    unshared = (F.lit(100 - percent) * F.col("n") / 100).cast("long")  # at most so many hashes of a linked set are its own
-    left = shared_counts(both.where("range is not null").select("range", "keys", "counts", "hashes"))
-    left = left.join(classes, "key").where(F.col("shared") >= F.col("had") - unshared).select("key", "least")
-    # texts without a doc_id can't be found again by it; they are asked for by a null-safe join
-    found = source.join(left.withColumnRenamed("least", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    sets = set_of(found, words).join(left.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "hashes")
-    sets = staged(sets, "sets")
+    left = maybe_linked(both, percent).select("key").distinct().join(classes, "key").select("key", "least")
+    found = source.join(left.select(F.col("least").alias("of")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    sets = staged(set_of(found, words).join(left.select("key").hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "hashes"), "sets")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                held = part.column(1).to_pylist()
-                at = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
-                h = np.array([v for x in held for v in x], np.int64).view(np.uint64)
-                blobs = range_rows(h, at, part.column(0).to_numpy(), 1.0, ranges)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["range", "keys", "counts", "hashes"])
+            at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())]).astype(np.int64)
+            h, keys = batch.column(1).flatten().to_numpy().view(np.uint64), batch.column(0).to_numpy()
+            for s in range(0, len(keys), CHUNK):
+                e = min(len(keys), s + CHUNK)
+                yield from counted(pa.nulls(e - s, pa.int64()), h[at[s] : at[e]], at[s : e + 1] - at[s], keys[s:e], 1.0, ranges)
 
-    kept = shared_counts(sets.select("key", "hashes").mapInArrow(again, RANGES)).where("had > 0").join(sets.select("key", "n"), "key").where(F.col("shared") >= F.col("had") - unshared).select("key")
-    sets = staged(sets.join(kept, "key", "left_semi"), "sets")
+    kept = maybe_linked(staged(sets.select("key", "hashes").mapInArrow(again, COUNTED), "shingles"), percent).select("key")
+    sets = staged(sets.join(kept.hint("merge"), "key", "left_semi"), "sets")
 
     # large groups of near copies fall together in blocks by their least shingles
     edges = staged(near_edges(sets, 2, percent, block), "links")
@@ -212,13 +237,21 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, words: int = WORD
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """docs, all columns, with one row of each component: that of its least doc_id. Rows alike are one; texts without
+    words stay. Of a component whose rows have no doc_id, all texts stay."""
+    found = linked_components(docs, percent, words)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
+    return docs.join(stay.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def near_edges(sets: DataFrame, keys: int, percent: int, block: int) -> DataFrame:
     """(a, b): links that tie together what links within blocks of texts with a common one of their least shingles."""
     heads = sets.select("key", F.explode(F.slice("hashes", 1, keys)).alias("token"))
     often = heads.groupBy("token").count().where("count > 1").select("token", F.ceil(F.col("count") / block).cast("long").alias("blocks"))
     # sorted by hash, so that blocks of one shingle are alike in size whatever the keys are
     places = heads.join(often, "token").select("key", F.struct("token", F.pmod(F.xxhash64("key", "token"), F.col("blocks")).alias("block")).alias("at"))
-    dealt = sets.join(places.groupBy("key").agg(F.collect_list("at").alias("at")), "key").select("key", "hashes", F.explode("at").alias("at")).select("key", "hashes", "at.token", "at.block")
+    dealt = sets.join(places.groupBy("key").agg(F.collect_list("at").alias("at")).hint("merge"), "key").select("key", "hashes", F.explode("at").alias("at")).select("key", "hashes", "at.token", "at.block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, "token", "block"):
@@ -263,15 +296,17 @@ def between(sets: DataFrame, roots: DataFrame, percent: int, block: int) -> Data
     first = own.select("key", "root", F.explode(F.slice("hashes", F.lit(1), reach.cast("int"))).alias("token"))
     mixed = first.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token", F.ceil(F.col("n") / (2 * block)).cast("long").alias("blocks"))
     places = first.join(mixed, "token").select("key", F.struct("token", "blocks").alias("at")).groupBy("key").agg(F.collect_list("at").alias("at"))
-    asked = own.join(places, "key")
+    asked = own.join(places.hint("merge"), "key")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "one", "two", "block", "key", "root", "head", "point"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                h = np.array(row["hashes"], np.int64)
+            ends = np.cumsum(batch.column("hashes").value_lengths().to_numpy())
+            flat = batch.column("hashes").flatten().to_numpy()
+            for row, end, start in zip(batch.select(["key", "root", "at"]).to_pylist(), ends, np.concatenate([[0], ends]), strict=False):
+                h = flat[start:end]
                 head, point = h[:HEAD].tobytes(), points([h])[0].tobytes()
                 for at in row["at"]:
                     own_block = (row["key"] * 0x9E3779B97F4A7C15 >> 20) % at["blocks"]
@@ -291,12 +326,39 @@ def between(sets: DataFrame, roots: DataFrame, percent: int, block: int) -> Data
 
     dealt = asked.select("key", "root", "hashes", "at").mapInArrow(deal, "token long, one long, two long, block long, key long, root long, head binary, point binary")
     pairs = dealt.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "key").mapInArrow(search, "a long, b long").distinct()
+    pairs = closer(sets, pairs, percent)
     x, y = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"of_{k}")) for k in "ab")
     common = F.size(F.array_intersect("of_a", "of_b"))
     total = F.size("of_a") + F.size("of_b")
     return pairs.join(x, "a").join(y, "b").where((100 + percent) * common >= percent * total).select("a", "b")
 
 
+def closer(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that still may link by points of FINE coordinates, a fraction of the sets in size, so that hardly any but
+    linked pairs have whole sets brought together. Sets with over 255 shingles in a group pass."""
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("hashes").value_lengths().to_numpy()
+            low = (batch.column("hashes").flatten().to_numpy().view(np.uint64) % U(FINE)).astype(np.int64)
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * FINE + low, minlength=len(sizes) * FINE).reshape(len(sizes), FINE)
+            points = [c.astype(np.uint8).tobytes() if c.max() < 256 else None for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(points, pa.binary())], names=["key", "n", "fine"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "fine_a", "fine_b"))
+            blank = bytes(FINE)
+            common = np.minimum(*[np.frombuffer(b"".join(p or blank for p in side), np.uint8).reshape(-1, FINE) for side in (x, y)]).sum(axis=1, dtype=np.int64)
+            some = np.array([p is None or q is None for p, q in zip(x, y, strict=True)], bool)
+            ok = some | (common >= needed(np.array(n, np.int64), np.array(m, np.int64), percent))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(ok))
+
+    points = staged(sets.select("key", "hashes").mapInArrow(fine, "key long, n long, fine binary"), "points")
+    x, y = (points.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"fine_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(bound, "a long, b long")
+
+
 def crossing(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a shingle's texts that are in different components, may share enough, and whose least common shingle,
     as far as the first HEAD of both tell, is this one."""

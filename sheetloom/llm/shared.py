@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -29,19 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def released() -> None:
+    """Gives back to the system the memory of what the driver no longer holds, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: what follows doesn't compute it anew,
     and a lost executor takes nothing of it along."""
     spark = df.sparkSession
+    # shuffle files go when the driver's objects for them do; without this, those of tables staged before would stay long
+    released()
+    spark.sparkContext._jvm.System.gc()
     at = f"{shared_dir(spark).rstrip('/')}/staged/{re.sub('[^a-z0-9_]', '_', label)}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python in batches of a few megabytes, so that a worker's memory doesn't depend on how long texts are."""
+    """Rows are read, and go to Python, in batches of a few megabytes, so that memory doesn't depend on how long texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def only(df: DataFrame, **types: str) -> DataFrame:
