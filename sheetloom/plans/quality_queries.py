@@ -156,3 +156,26 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
 def m11(spark: SparkSession, d: str) -> DataFrame:
     n = facts(spark, d).groupBy("cliente").agg(F.count("*").cast("double").alias("n"))
     return n.agg(F.round(F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n")), 9).alias("p"))
+
+
+SUBSTITUTED = f"{EDIT}, p AS (SELECT DISTINCT substr(new_value, 1, 1) || 'x' AS e, old_value || 'x' AS f FROM edit), c AS (SELECT e, f, unnest(range(1, length(e) + 1)) AS i FROM p), n AS (SELECT substr(e, CAST(i AS INTEGER), 1) AS gold, substr(f, CAST(i AS INTEGER), 1) AS ocr, COUNT(*) AS n FROM c GROUP BY ALL)"
+
+
+def short(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of two characters with the same last one, whose alignment is plain."""
+    first = F.concat(F.substring("new_value", 1, 1), F.lit("x"))
+    return edits(spark, d).select(first.alias("new_value"), F.concat("old_value", F.lit("x")).alias("old_value"))
+
+
+@query("a33_confusions", f"WITH {SUBSTITUTED}, t AS (SELECT gold, SUM(n) AS total FROM n GROUP BY gold) SELECT gold, ocr, CAST(n AS BIGINT) AS n, ROUND(n / total, 6) AS weight FROM n JOIN t USING (gold) WHERE gold <> ocr AND n >= 1")
+def a33(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import channel
+
+    return channel.confusions(channel.substitutions(short(spark, d)), least=1)
+
+
+@query("m12_costs", f"WITH {SUBSTITUTED}, t AS (SELECT gold, SUM(n) AS total FROM n GROUP BY gold) SELECT gold, ocr, ROUND(GREATEST(3.0::DOUBLE, LEAST(10.0::DOUBLE, -log2((n + 0.5::DOUBLE) / (total + 18)))), 6) AS bits FROM n JOIN t USING (gold) WHERE gold <> ocr")
+def m12(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import channel
+
+    return channel.costs(channel.substitutions(short(spark, d)))
