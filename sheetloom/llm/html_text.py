@@ -40,6 +40,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "status"}
 #: Words of a class or an id that tell what is no part of an article.
 AGAINST = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "advertorial", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "rss", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "skyscraper", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget", "widgets"}
+ABOUT = {"with", "has", "no", "without", "is", "not"}
 
 
 class Page:
@@ -67,7 +68,10 @@ class Page:
             if parts:
                 said = " ".join(entities.unescape("".join(parts)).split())
                 if said:
-                    self.blocks.append((block_of(), said, linked, out[stack[-1]]))
+                    e = block_of()
+                    # of an article's own header only the headings are part of it
+                    beside = bool(names.get("header")) and tag[e] not in HEADINGS
+                    self.blocks.append((e, said, linked, out[stack[-1]] or beside))
                 parts.clear()
             linked = 0
 
@@ -168,8 +172,9 @@ class Page:
             return True
         if said.get("role", "").lower() in ROLES:
             return True
-        words = {w.lower() for w in WORDS.findall(f"{said.get('class', '')} {said.get('id', '')}")}
-        return bool(words & AGAINST) and name not in ("main",)
+        words = [w.lower() for w in WORDS.findall(f"{said.get('class', '')} {said.get('id', '')}")]
+        # with-sidebar or no-comments tell of something else than the element itself
+        return name != "main" and any(w in AGAINST and before not in ABOUT for before, w in zip(["", *words], words, strict=False))
 
     def above(self, e: int) -> Iterator[int]:
         while e >= 0:
