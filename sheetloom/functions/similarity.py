@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reachable
+
 FAR = 999
 
 
@@ -51,6 +53,7 @@ def zero_tolerant(a: Column, b: Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """Twice the matched characters over all, by longest matching blocks."""
+    reachable()
     return F.pandas_udf(_ratio, T.DoubleType())(a, b)
 
 
@@ -60,6 +63,7 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sorted_ratio(a: Column, b: Column) -> Column:
     """In hundredths, of the texts with their words in order: twice the longest common subsequence over both lengths."""
+    reachable()
     return F.pandas_udf(_sorted_ratio, T.DoubleType())(a, b)
 
 
@@ -104,6 +108,7 @@ def aligned(a: str, b: str, gap: float = 1.0, costs: dict[tuple[str, str], float
 
 def alignment(a: Column, b: Column) -> Column:
     """The pairs of `aligned` as an array of structs."""
+    reachable()
     kind = T.ArrayType(T.StructType().add("expected", "string").add("found", "string"))
     return F.pandas_udf(_alignment, kind)(a, b)
 
@@ -115,6 +120,8 @@ def _alignment(a: pd.Series, b: pd.Series) -> pd.Series:
 def channel_cost(costs: dict[tuple[str, str], float], gap: float = 1.0):
     """An Arrow function: the alignment's cost under known substitution costs (a bounded table of character pairs)."""
 
+    reachable()
+
     @F.pandas_udf(T.DoubleType())
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else aligned(x, y, gap, costs)[0] for x, y in zip(a, b, strict=True)], dtype="float64")
