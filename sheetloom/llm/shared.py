@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +55,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Rows are read, and go to Python, in batches of a few megabytes, so that memory doesn't depend on how long texts are."""
+    reachable()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
@@ -60,13 +63,10 @@ def small_batches(spark: SparkSession) -> None:
 
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns alone, so that further columns of a table can't clash with those an operator adds."""
+    small_batches(df.sparkSession)
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()))
 
 
-def spread(df: DataFrame, parts: int, *columns: str) -> DataFrame:
-    return df.repartition(max(1, parts), *columns)
-
-
 def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about limit characters together, at least one text each."""
     start, held = 0, 0
