@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import only, slices, small_batches
+from .shared import only, released, slices, small_batches
 
 WINDOW, STEP = 48, 32
 OWN, HIDDEN, BUCKETS = 8, 8, 1 << 16
@@ -237,16 +237,28 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
     net = Network.fresh(own_odds, gram_odds)
     rows, owner = rows_of(texts_as)
     at = np.searchsorted(owner, np.arange(len(texts) + 1))
+
+    def all_logits() -> np.ndarray:
+        """Of all windows, by blocks of texts, so that only a block's words are in memory as what they give to the gates."""
+        out = []
+        for i in range(0, len(texts), 200):
+            part = rows[at[i] : at[min(i + 200, len(texts))]]
+            words, local = np.unique(part, return_inverse=True)
+            blank = int(words[0] < 0)
+            given = net.projected(net.inputs([vocabulary[w] for w in words[blank:]]))
+            out.append(net.logits(given, local.reshape(part.shape) - blank))
+        return np.concatenate(out)
+
     rng = np.random.default_rng(5)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     every = max(1, min(100, len(texts) // batch))
     toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     for step in range(steps):
         if step % every == 0:
-            logit = net.logits(net.projected(net.inputs(vocabulary)), rows)
+            logit = all_logits()
             if step == 0:  # no learnt order yet: the windows with the highest vectors' sum
-                odds = np.sort(np.append(net.inputs(vocabulary)[:, [0, OWN]].sum(axis=1), 0)[rows], axis=1)
-                logit = odds[:, -3:].sum(axis=1)
+                known = np.concatenate([net.inputs(vocabulary[i : i + 10_000])[:, [0, OWN]].sum(axis=1) for i in range(0, len(vocabulary), 10_000)])
+                logit = np.sort(np.append(known, f32(0))[rows], axis=1)[:, -3:].sum(axis=1)
         chosen = np.concatenate([rng.choice(toxic, batch // 2), rng.choice(clean, batch // 2)])
         picked, target = [], []
         for i in chosen:
@@ -284,7 +296,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 500, batch: int = 48,
             now = rate * (1 - 0.8 * step / steps)
             touched = slice(None) if k not in ("own", "gram") else np.flatnonzero(g[k].any(axis=1) & (own_odds if k == "own" else gram_odds)[1])
             v[touched] -= now * (m[touched] / (1 - 0.9 ** (step + 1))) / (np.sqrt(s[touched] / (1 - 0.99 ** (step + 1))) + 1e-6)
-    top = highest(net.logits(net.projected(net.inputs(vocabulary)), rows), owner, len(texts))
+    top = highest(all_logits(), owner, len(texts))
     net.scale = calibrated(top, y)
     return net
 
@@ -336,7 +348,10 @@ def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     sample = marked.where("toxic = 1").orderBy(*order).limit(toxic).unionAll(marked.where("toxic = 0").orderBy(*order).limit(clean))
     rows = only(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
     rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"] or "")}.values(), key=lambda r: r["doc_id"])
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows]) if rows else Network.fresh(NOTHING, NOTHING)
+    net = fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows]) if rows else Network.fresh(NOTHING, NOTHING)
+    del rows, sample
+    released()
+    return net
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
