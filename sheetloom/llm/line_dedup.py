@@ -33,7 +33,7 @@ from .shared import small_batches, staged
 
 EDITS, MIN_CHARS = 2, 40
 #: Characters after the first difference that a pair is held against first.
-GLANCE = 24
+GLANCE = 12
 LAST = 2**63 - 1
 #: Bits of the table by which keys are filtered: 4 MB, whatever the input.
 FILTER = 1 << 25
@@ -194,7 +194,8 @@ def doomed(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
         tagged = own.where("n > 1").select("lid", F.col("lid").alias("class"), "owner")
     tagged = staged(tagged, "line_classes")
     classes = tagged.select("lid", "class").join(tagged.groupBy("class").agg(F.min("owner").alias("owner")), "class")
-    found = lines.select("doc_id", "pos", "lid").join(classes, "lid").select("doc_id", "pos", "class", "owner")
+    places = marked(lines.select("doc_id", "pos", F.col("lid").alias("key")), tagged.select(F.col("lid").alias("key"))).withColumnRenamed("key", "lid")
+    found = places.join(classes, "lid").select("doc_id", "pos", "class", "owner")
     first = found.where("doc_id = owner").groupBy("doc_id", "class").agg(F.min("pos").alias("first"))
     found = found.join(first, ["doc_id", "class"], "left").where("first is null or pos != first")
     return found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "pos", "class")

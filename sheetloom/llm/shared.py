@@ -49,7 +49,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     released()
     spark.sparkContext._jvm.System.gc()
     at = f"{shared_dir(spark).rstrip('/')}/staged/{re.sub('[^a-z0-9_]', '_', label)}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(at)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.block.size", 16 << 20).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
