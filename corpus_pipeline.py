@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.removed(docs, line_dedup.doomed(docs)).drop("__removed")
+    return line_dedup.removed(docs, line_dedup.doomed(docs, exact_chars=line_dedup.EXACT_CHARS)).drop("__removed")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

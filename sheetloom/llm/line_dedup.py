@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Lines of at least MIN_CHARS characters are deduplicated; shorter ones stay. Equal lines are one. Two lines within
-`edits` edits of each other link:
+Every line of at least EXACT_CHARS characters, that is, every line that isn't empty, is held against equal ones: equal
+lines are one. Two lines of at least MIN_CHARS characters within `edits` edits of each other link:
 
 - A line is split into edits + 1 segments of nearly equal length. Of two lines within that many edits, the longer has,
   as a substring, a segment of the shorter unchanged, at a place shifted by few characters. Each line is indexed by
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import small_batches, staged
 
-EDITS, MIN_CHARS = 2, 40
+EDITS, MIN_CHARS, EXACT_CHARS = 2, 40, 1
 #: Characters after the first difference that a pair is held against first.
 GLANCE = 12
 LAST = 2**63 - 1
@@ -181,14 +181,15 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def doomed(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, class): the lines to remove; class is the least hash of the lines linked with them."""
+def doomed(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """(doc_id, pos, class): the lines to remove; class is the least hash of the lines linked with them. Lines of
+    exact_chars characters (min_chars, if not given) or more link if they are equal, of min_chars or more if they are alike."""
     small_batches(docs.sparkSession)
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, min_chars if exact_chars is None else min(exact_chars, min_chars))
     # each line once, with the least doc_id it stands in; what follows works on these
     own = staged(lines.groupBy("lid", "line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).withColumn("size", F.length("line")), "lines")
     if edits:
-        roots = components(near_pairs(own.select("lid", "line", "size"), edits), "x", "y")
+        roots = components(near_pairs(own.where(F.col("size") >= min_chars).select("lid", "line", "size"), edits), "x", "y")
         tagged = own.join(roots.withColumnRenamed("node", "lid"), "lid", "left").where("n > 1 or root is not null").select("lid", F.coalesce("root", "lid").alias("class"), "owner")
     else:
         tagged = own.where("n > 1").select("lid", F.col("lid").alias("class"), "owner")
@@ -215,10 +216,8 @@ def removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): each row's text without its repeated lines."""
-    out = removed(docs.select("doc_id", "text"), doomed(docs, edits, min_chars)).withColumnRenamed("__removed", "n_removed")
-    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    # a text without any line is empty, as is one whose only line is empty; no line that short is removed
-    n = n + F.col("n_removed") - F.when((F.col("n_removed") > 0) & (F.col("text") == ""), 1).otherwise(0)
-    return out.select("doc_id", n.cast("long").alias("n_lines"), "n_removed", "text")
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    out = removed(docs.select("doc_id", "text", n.alias("n_lines")), doomed(docs, edits, min_chars, exact_chars))
+    return out.select("doc_id", "n_lines", F.col("__removed").alias("n_removed"), "text")

@@ -20,7 +20,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: how many lines it has, how many of them repeat, and a digest of the text that is left."""
-    out = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    out = line_dedup.line_report(table(spark, sf_dir, "documents"), exact_chars=line_dedup.EXACT_CHARS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

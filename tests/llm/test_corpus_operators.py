@@ -9,7 +9,8 @@ import re
 import numpy as np
 import pytest
 
-from sheetloom.llm import ann, graph, jaccard_join, line_dedup, suffix_core, suffix_dedup
+import corpus_pipeline
+from sheetloom.llm import ann, graph, jaccard_join, line_dedup, queries, suffix_core, suffix_dedup
 
 
 def rooted(n):
@@ -86,6 +87,18 @@ def test_lines(spark, seed, k, least):
     assert sorted([tuple(x) for x in line_dedup.line_report(df, k, least).collect()], key=str) == brute_lines(rows, k, least)
 
 
+def test_short_lines_are_deduplicated_where_equal(spark, tmp_path):
+    notice, alike = "All rights reserved.", "All rights reserved!"
+    rows = [(1, f"one\n{notice}"), (2, f"two\n{notice}\n\n"), (3, notice), (4, f"\n{notice}"), (5, alike), (6, "x\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.kept_sha256) for x in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    kept = [(2, 0, f"one\n{notice}"), (4, 1, "two\n\n"), (1, 1, ""), (2, 1, ""), (1, 0, alike), (2, 1, "x")]
+    assert got == {i: (n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in enumerate(kept, 1)}
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    left = stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {x.doc_id: x.text for x in left.collect()} == {i: t for i, (_, _, t) in enumerate(kept, 1)}
+
+
 def test_line_dedup_keeps_other_columns(spark):
     line = "a line that is long enough to be looked at by the operator"
     df = spark.createDataFrame([(1, f"x\n{line}", 99, "p"), (2, f"{line}\ny", 99, "q"), (3, None, None, None)], "doc_id long, text string, n_chars long, held string")
