@@ -71,6 +71,16 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return joins.grid_join(c, read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), [("c_acctbal", "p_retailprice"), ("c_nationkey", "p_size")], 30).select("c_custkey", "p_partkey")
 
 
+@query(
+    "j16_grid_join_whole",
+    """SELECT c_custkey, p_partkey FROM customer JOIN part ON abs(floor(c_acctbal / 30) - floor(p_retailprice / 30)) <= 1 AND abs(floor(c_nationkey / 30) - floor(p_size / 30)) <= 1""",
+)
+def j16_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The grid join over all customers."""
+    c = read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    return joins.grid_join(c, read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), [("c_acctbal", "p_retailprice"), ("c_nationkey", "p_size")], 30).select("c_custkey", "p_partkey")
+
+
 @query(
     "j17_token_join",
     """WITH t AS (SELECT DISTINCT item_id, unnest(string_split(text, ' ')) AS t FROM benchmark), u AS (SELECT item_id, t FROM t WHERE length(t) >= 5), k AS (SELECT t FROM u GROUP BY t HAVING COUNT(DISTINCT item_id) <= 50)
