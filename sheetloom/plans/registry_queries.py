@@ -178,6 +178,13 @@ def u6(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("sheet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "operador"))), lambda x: x["operador"]), ",").alias("parts"))
 
 
+@query("u6_ordered_union_whole", f"WITH {FACT} SELECT sheet_id, string_agg(segmento, ',' ORDER BY f) AS parts FROM (SELECT sheet_id, operador AS segmento, MIN((row_index, of, suppkey, qtd)) AS f FROM fact GROUP BY ALL) GROUP BY sheet_id")
+def u6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all facts."""
+    f = facts(spark, d).groupBy("sheet_id", "operador").agg(F.min(F.struct("row_index", "of", "suppkey", "qtd")).alias("f"))
+    return f.groupBy("sheet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "operador"))), lambda x: x["operador"]), ",").alias("parts"))
+
+
 @query("a39_value_sets", f"WITH {FACT} SELECT of, array_to_string(list_sort(list_distinct(list(flag))), ',') AS flags, COUNT(DISTINCT larg) AS n_larg FROM fact GROUP BY of")
 def a39(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d).groupBy("of").agg(F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"), F.count_distinct("larg").alias("n_larg"))
@@ -227,3 +234,12 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     n = edits(spark, d).where("source = 'human'").groupBy("sheet_id").agg(F.count("*").cast("double").alias("c"))
     s = sheets(spark, d).where("sheet_id < 120").join(n, "sheet_id", "left").na.fill(0.0, ["c"])
     return ordered.recent_against_before(s, F.desc("sheet_id"), "c")
+
+
+@query("j10_windowed_counts_whole", f"WITH {SHEET}, {EDIT}, n AS (SELECT sheet_id, COUNT(*) AS c FROM edit WHERE source = 'human' GROUP BY 1), s AS (SELECT sheet_id, row_number() OVER (ORDER BY sheet_id DESC) AS p FROM sheet) SELECT ROUND(AVG(COALESCE(c, 0)) FILTER (p <= 20), 6) AS recent, ROUND(AVG(COALESCE(c, 0)) FILTER (p > 20 AND p <= 120), 6) AS before FROM s LEFT JOIN n USING (sheet_id)")
+def j10_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The newest of all sheets against those before them."""
+    from ..operators import ordered
+
+    n = edits(spark, d).where("source = 'human'").groupBy("sheet_id").agg(F.count("*").cast("double").alias("c"))
+    return ordered.recent_against_before(sheets(spark, d).join(n, "sheet_id", "left").na.fill(0.0, ["c"]), F.desc("sheet_id"), "c")

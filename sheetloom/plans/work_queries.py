@@ -191,6 +191,13 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     return documents.replayed(base, e)
 
 
+@query("r4_replay_whole", f"WITH {EDIT}, base AS (SELECT DISTINCT sheet_id, field_path AS path, '-' AS value FROM edit), n AS (SELECT sheet_id, field_path AS path, arg_max(new_value, id) AS v FROM edit WHERE source IN ('human', 'wizard') GROUP BY ALL) SELECT sheet_id, path, COALESCE(v, value) AS value FROM base LEFT JOIN n USING (sheet_id, path)")
+def r4_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The edits of all sheets replayed."""
+    e = edits(spark, d).withColumnRenamed("field_path", "path")
+    return documents.replayed(e.select("sheet_id", "path", F.lit("-").alias("value")).distinct(), e)
+
+
 @query("l18_written_back", f"WITH {EDIT}, p AS (SELECT sheet_id, field_path, arg_max(source, id) AS s FROM edit GROUP BY ALL), a AS (SELECT DISTINCT sheet_id, field_path FROM edit) SELECT a.* FROM a JOIN p USING (sheet_id, field_path) WHERE s NOT IN ('human', 'wizard')")
 def l18(spark: SparkSession, d: str) -> DataFrame:
     e = edits(spark, d)
