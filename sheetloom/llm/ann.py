@@ -9,7 +9,8 @@ Bounded samples (SAMPLE rows with the smallest hashes of vec_id) fit the codeboo
 whose recall among the sample reaches TARGET. Every row is indexed. The driver gets the sample, the codebooks and
 a count for each pair of centroids, whose number is bounded, too. Rows are dealt by their first centroid and, where
 that is frequent, by a hash of vec_id into blocks; a query goes only to those first centroids that it reaches, and
-takes at most k rows from a block. Many copies of a vector count once when cells are counted.
+takes at most k vec_ids from a block. Many copies of a vector count once when cells are counted, as do many rows of
+a vec_id, so that the cells seen hold enough that may be listed.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of another
 length than most. Rows with the query's own vec_id are no candidates; a vec_id that occurs more often is listed
@@ -129,7 +130,8 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = 10, centroids: i
                 yield rows.assign(first=a.astype("int64"), second=b.astype("int64"))
 
     found = index_rows.mapInPandas(celled, "vec_id long, v array<double>, first long, second long")
-    distinct = found.select("first", "second", F.xxhash64("v").alias("h")).distinct().groupBy("first", "second").count()
+    once = found.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "first", "second")).alias("one"))
+    distinct = once.select("one.first", "one.second", "one.h").distinct().groupBy("first", "second").count()
     cells = {r["first"] * wide + r["second"]: r["count"] for r in distinct.collect()}
     counts = {r["first"]: r["count"] for r in found.groupBy("first").count().collect()}
     blocks = {a: -(-n // BLOCK) for a, n in counts.items()}
@@ -159,6 +161,7 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = 10, centroids: i
         out: list[pd.DataFrame] = []
         if len(rows) and len(asked):
             v, ids, second = np.stack(rows["v"].to_numpy()), rows["vec_id"].to_numpy(), rows["second"].to_numpy()
+            repeated = len(np.unique(ids)) < len(ids)
             for start in range(0, len(asked), TOGETHER):
                 part = asked.iloc[start : start + TOGETHER]
                 q = np.stack(part["v"].to_numpy())
@@ -169,11 +172,16 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = 10, centroids: i
                     if not len(at):
                         continue
                     d = np.sqrt(((v[at] - q[i]) ** 2).sum(axis=1))
+                    if repeated:  # each vec_id once, with its least distance, before the nearest are cut out
+                        order = np.lexsort((d, ids[at]))
+                        at, d = at[order], d[order]
+                        one = np.concatenate([[True], ids[at][1:] != ids[at][:-1]])
+                        at, d = at[one], d[one]
                     if len(at) > 4 * k:
                         near = d <= np.partition(d, k)[k]
                         at, d = at[near], d[near]
                     order = np.lexsort((ids[at], d))
-                    best = pd.DataFrame({"query_id": own, "vec_id": ids[at][order], "score": d[order]}).drop_duplicates("vec_id")
+                    best = pd.DataFrame({"query_id": own, "vec_id": ids[at][order], "score": d[order]})
                     out.append(best.head(k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 

@@ -267,6 +267,20 @@ def test_neighbours(spark):
     assert got.query_id.nunique() == 12 and hits / 120 >= 0.9
 
 
+def test_repeated_vec_id_hides_no_neighbour(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(300, 8))
+    hot = x[0] + r.normal(size=(400, 8)) * 0.01  # one vec_id, many vectors near the query
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7777, v.tolist()) for v in hot]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = [(g.vec_id, g.score) for g in ann.nearest(df, df.where("vec_id = 0"), centroids=8, target=1.0).orderBy("rank").collect()]
+    d = {i: float(np.sqrt(((v - x[0]) ** 2).sum())) for i, v in enumerate(x) if i}
+    d[7777] = float(np.sqrt(((hot - x[0]) ** 2).sum(axis=1)).min())
+    true = sorted(d.items(), key=lambda p: (p[1], p[0]))[:10]
+    assert len(got) == 10 and got[0][0] == 7777
+    assert len({i for i, _ in got} & {i for i, _ in true}) >= 9 and all(abs(s - d[i]) < 1e-9 for i, s in got)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, v array<double>")
     assert [(x.vec_id, x.rank) for x in ann.nearest(df, df.where("vec_id = 100")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
