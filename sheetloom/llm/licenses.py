@@ -4,10 +4,13 @@ Every paragraph (line) of every text is read in overlapping windows of WINDOW wo
 through a multinomial logistic regression over licence families and a class for anything else. It is trained on the
 templates below, cut, reworded by dropping words and set among words of ordinary paragraphs, against windows of such
 paragraphs; a temperature, fitted on windows held out, makes its probabilities honest. A window whose best family has
-less than SURE is unknown. A family found is confirmed if a template's n-grams are mostly there, around the window; a
-window that is a licence by UNKNOWN or more but fits no template counts as an unknown licence.
+less than SURE is unknown. A family is confirmed if a template's n-grams are mostly there, around the window, and all
+that are confirmed count. Templates share wording: one counts beside others that fit better only if OWN of the n-grams
+that it doesn't share with them are there. A window that is a licence by UNKNOWN or more but fits no template counts as
+an unknown licence, also in a text that has known ones.
 
-Ordinary paragraphs are drawn from at most SAMPLE documents, those with the smallest hashes of doc_id. Null and empty
+Ordinary paragraphs are drawn from at most SAMPLE documents, those with the smallest hashes of doc_id: of each the LINES
+with the smallest hashes, wherever they stand in it, that are not empty and don't speak of licences. Null and empty
 texts have no licences; texts of any length are read whole; equal texts have equal results; rows are kept as they
 come, with or without a doc_id.
 """
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from .shared import only, slices
 
 WINDOW, STEP, ORDERS, BUCKETS = 24, 12, (1, 2, 3), 1 << 14
-SAMPLE, SURE, UNKNOWN, CONFIRMED = 400, 0.5, 0.95, 0.6
+SAMPLE, LINES, SURE, UNKNOWN, CONFIRMED, OWN = 400, 8, 0.5, 0.95, 0.6, 0.75
+LEGAL = "licen[sc]|copyright|rights reserved|public domain"
 TOGETHER = 1_000_000
 WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9+]")
 
@@ -108,6 +112,22 @@ class Scanner:
         n = min(3, len(w))
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
+    def confirmed(self, has: dict[int, set[tuple[str, ...]]]) -> set[str]:
+        """Families with a template whose n-grams are mostly among those there are, and not only by what a better one shares."""
+        fits = []
+        for f, t in self.templates:
+            there = t & has[len(next(iter(t)))]
+            if len(there) >= CONFIRMED * len(t):
+                fits.append((len(there) / len(t), len(there), f, t))
+        names: set[str] = set()
+        told: set[tuple[str, ...]] = set()
+        for _, _, f, t in sorted(fits, key=lambda x: (-x[0], -x[1], x[2])):
+            own = t - told
+            if f in names or own and len(own & has[len(next(iter(t)))]) >= (OWN if names else CONFIRMED) * len(own):
+                names.add(f)
+                told |= t
+        return names
+
     def probabilities(self, means: np.ndarray) -> np.ndarray:
         z = (means + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -139,14 +159,13 @@ class Scanner:
                     doc = owner[lines[first[x]]]
                     a, b = max(starts[first[x]], first[x] - WINDOW), min(ends[first[x]], last[x] + WINDOW)
                     has = {n: {tuple(words[i : i + n]) for i in range(a, b - n + 1)} for n in (1, 2, 3)}
-                    names = {f for f, t in self.templates if len(t & has[len(next(iter(t)))]) >= CONFIRMED * len(t)}
-                    family = FAMILIES[p[x, :-1].argmax()] if p[x, :-1].max() >= SURE else "unknown"
-                    if family not in names and p[x, -1] > 1 - UNKNOWN:
+                    names = self.confirmed(has)
+                    if not names and p[x, -1] > 1 - UNKNOWN:
                         continue
-                    found[doc].add(family if family in names else "unknown")
+                    found[doc] |= names or {"unknown"}
                     hits[doc] += 1
                     best[doc] = max(best[doc], float(1 - p[x, -1]))
-            out += [(sorted(f - {"unknown"}) or sorted(f), n, s) for f, n, s in zip(found, hits, best, strict=True)]
+            out += [(sorted(f), n, s) for f, n, s in zip(found, hits, best, strict=True)]
             if len(self.known) > 300_000:
                 self.known.clear()
         return out
@@ -217,8 +236,10 @@ def fit(paragraphs: list[str], rounds: int = 400, seed: int = 1) -> Scanner:
 def scanned(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, licenses, n_windows, score) of each row: licences separated by commas, empty if none."""
     source = only(docs, doc_id="long", text="string")
-    drawn = source.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.split("text", "\n").alias("lines")).collect()
-    paragraphs = [p for r in drawn for p in (r["lines"] or [])[:8] if not re.search("licen[sc]|copyright|rights reserved|public domain", p.lower())]
+    drawn = source.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    plain = F.filter(F.split("text", "\n"), lambda p: (F.trim(p) != "") & ~F.lower(p).rlike(LEGAL))
+    hashed = F.array_sort(F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))
+    paragraphs = [p for r in drawn.select(F.slice(hashed["p"], 1, LINES).alias("lines")).collect() for p in r["lines"] or []]
     scanner = fit(paragraphs)
     shipped = docs.sparkSession.sparkContext.broadcast((scanner.weights, scanner.bias, scanner.temperature))  # of fixed size
 

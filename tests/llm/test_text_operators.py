@@ -201,3 +201,34 @@ def test_licences(spark):
     for i, family in enumerate(cases.values()):
         assert got[100 + i] == family and got[200 + i] == family
     assert got[300] == got[301] == "" and sum(got[i] != "" for i in range(60)) <= 3
+
+
+def test_all_licences_of_a_text(spark):
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(300)]
+    plain = [" ".join(r.choices(words, k=60)) for _ in range(60)]
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    exotic = "Licensed under the GNU free permission license"
+    cases = {
+        "Licensed under the MIT License or the Apache License, Version 2.0": "apache-2.0,mit",
+        "Released under the MIT License.\nLicensed under CC BY-NC 4.0.": "cc-by-nc,mit",
+        f"{exotic}": "unknown",
+        f"All rights reserved.\n{exotic}": "proprietary,unknown",
+        # those that share wording with others stay alone
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        lgpl: "lgpl",
+    }
+    rows = [(i, p) for i, p in enumerate(plain)] + [(100 + i, f"{plain[i]}\n{t}\n{plain[i + 1]}") for i, t in enumerate(cases)]
+    got = {x.doc_id: x.licenses for x in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_ordinary_paragraphs_come_from_whole_texts(spark, monkeypatch):
+    seen = []
+    fit = licenses.fit
+    monkeypatch.setattr(licenses, "fit", lambda paragraphs: seen.extend(paragraphs) or fit(paragraphs))
+    text = "\n".join([f"line {i} of a long text" for i in range(200)] + ["", "a license"])
+    licenses.scanned(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
+    places = [int(p.split()[1]) for p in seen]
+    assert len(set(places)) == licenses.LINES and max(places) >= 50
