@@ -1,21 +1,24 @@
 """Removal of long repeated passages by suffix order and longest previous factors, over all documents.
 
 A passage counts if `size` bytes of it (UTF-8) also start somewhere else. A suffix array of all documents at once
-fits no machine, so the suffixes are dealt into buckets that can hold matches:
+fits no machine, so the suffixes are dealt into buckets that hold all matches of theirs:
 
 1. Each window of `size` bytes names the place of its least-hashed k-mer, its anchor; equal windows have equal
-   anchors at equal places. The windows that share an anchor are neighbours: the anchor's neighbourhood.
-2. Anchors that occur once in all documents have no matches. Neighbourhoods that are equal, bytes and all, match in
-   all their windows. Both follow from counts by hash (128 bits together), summed before the shuffle.
-3. What is left, one example of each neighbourhood of an anchor that has unlike ones, is brought together by anchor.
-   Blocks of whole anchors are put into suffix order; common prefixes of neighbours in that order tell the windows
-   that start elsewhere, and longest previous factors, by previous and next smaller positions, those that start
-   earlier. Here bytes are compared, not hashes.
-4. An anchor with more than BUCKET unlike neighbourhoods is taken window by window: equal windows meet by their hash.
+   anchors at equal places. The windows that share an anchor are neighbours: the anchor's neighbourhood. Anchors that
+   occur once in all documents have no matches.
+2. Copies of a neighbourhood, bytes and all, are counted by hash (128 bits together) before the shuffle; its first and
+   its last occurrence are put into suffix order for all of them. The first one's windows have the earlier matches that
+   they have outside the copies; all other copies have the first one as an earlier match, as the last one has.
+3. These are brought together by anchor. Blocks of whole buckets are put into suffix order; longest previous and next
+   factors, by previous and next smaller positions in it, tell the windows that start elsewhere, earlier or not.
+4. A bucket of more than `limit` unlike neighbourhoods, as a large group of near copies makes it, is dealt again: its
+   windows' range of distances from the anchor is halved, and each half's windows have more bytes in common, by which
+   they are dealt. That goes on while one is too large; a single distance has one content, and so fits.
 
 Matches never cross documents. With keep="none" every occurrence of a repeated passage goes, with keep="first" all
 but the first by (doc_id, place). Null texts count as empty; texts of under `size` bytes, and empty ones, stay as they
-are. Rows alike in doc_id and text count as occurrences of each other, and with keep="first" stay or go together.
+are, and an empty table gives no rows. A null doc_id comes before all others. Rows alike in doc_id and text count as
+occurrences of each other, and with keep="first" stay or go together. Further columns, of whatever name, are carried along.
 """
 
 from __future__ import annotations
@@ -23,18 +26,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import small_batches, staged
-from .suffix_core import Hashes, matched, runs, sampled
+from .suffix_core import Hashes, factors, mixed, neighbourhoods, runs, stretches
 
 SIZE, K = 400, 128
-#: Bytes put into one suffix order, and unlike neighbourhoods of an anchor that come together, at most.
-BLOCK, BUCKET = 300_000, 1024
+#: Bytes put into one suffix order, but for a bucket that is larger by itself.
+BLOCK = 4 << 20
+#: Unlike neighbourhoods that a bucket may hold before it is dealt again.
+LIMIT = 4096
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -66,158 +70,162 @@ def opened(packed: bytes, n: int) -> bytes:
 
 
 def anchored(rows: DataFrame, size: int, k: int) -> DataFrame:
-    """(a, h, doc_id, rid, w) of each anchor: its hash, its neighbourhood's, and in w its place (times 2**20), how far
-    before it its first window starts (times 2**10) and its last."""
+    """(a, h, doc_id, rid, place, low, high) of each anchor: its hash, its neighbourhood's, its place, and how far before
+    it its last and its first window start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, h, w, n = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                raw = np.frombuffer(text.encode(), np.uint8)
-                if len(raw) < size:
-                    n.append(0)
-                    continue
-                sums = Hashes(raw)
-                each = sums.each(k)
-                place, first, last = sampled(each, size - k + 1)
-                a.append(each[place])
-                h.append(sums.of(first, last + size) ^ ((place - first) * 1024 + place - last).astype(np.uint64))
-                w.append((place << 20) + ((place - first) << 10) + (place - last))
-                n.append(len(place))
-            of = np.repeat(np.arange(len(n)), n)
-            own = batch.select(["doc_id", "rid"]).take(pa.array(of))
-            joined = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, h, w)]
-            yield pa.RecordBatch.from_arrays([pa.array(joined[0]), pa.array(joined[1]), own.column(0), own.column(1), pa.array(joined[2])], names=["a", "h", "doc_id", "rid", "w"])
-
-    return rows.select("doc_id", "rid", "text").mapInArrow(run, "a long, h long, doc_id long, rid long, w long")
-
-
-def repeated(docs: DataFrame, size: int = SIZE, k: int = K, bucket: int = BUCKET) -> DataFrame:
-    """(rid, spans): of each row with any, the windows that start elsewhere, too, as [first, last, 1 if they start
-    earlier, too, else 0]; the rows are those of keyed(docs)."""
-    if not 0 < k <= size or size - k >= 1024:
-        raise ValueError("an anchor must be shorter than the windows, by less than 1024 bytes")
-    rows = keyed(docs)
-    anchors = anchored(rows, size, k)
-    shared = anchors.groupBy("a").agg(F.count("*").alias("n"), (F.min("h") != F.max("h")).alias("mixed")).where("n > 1").select("a", "mixed")
-    found = staged(anchors.join(shared, "a"), "suffix_anchors")
-    least = F.min(F.struct("doc_id", "rid", "w")).alias("example")
-    kinds = staged(found.groupBy("a", "h").agg(F.count("*").alias("n"), least, F.first("mixed").alias("mixed")), "suffix_kinds")
-    # equal neighbourhoods: all windows
-    many = kinds.where("n > 1").select("a", "h", "example")
-    first, last = F.shiftright("w", 20) - F.shiftright("w", 10).bitwiseAND(F.lit(1023)), F.shiftright("w", 20) - F.col("w").bitwiseAND(F.lit(1023))
-    later = F.when(F.struct("doc_id", "rid", "w").eqNullSafe(F.col("example")), 0).otherwise(1)
-    whole = found.select("a", "h", "doc_id", "rid", "w").join(many, ["a", "h"]).select("rid", F.array(first, last, later.cast("long")).alias("span"))
-    # unlike ones
-    unlike = kinds.where("mixed").select("a", "example")
-    sizes = unlike.groupBy("a").count().select("a", (F.col("count") > bucket).alias("large"))
-    asked = unlike.join(sizes, "a").select(F.col("example.rid").alias("rid"), F.struct("a", F.col("example.w").alias("w"), "large").alias("at"))
-    asked = asked.groupBy("rid").agg(F.collect_list("at").alias("at"))
-    texts = shrunk(rows.drop("rest")).join(asked, "rid")
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            for a, h, of, place, low, high in neighbourhoods(texts, size, k):
+                own = batch.select(["doc_id", "rid"]).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h.view(np.int64)), own.column(0), own.column(1), pa.array(place, pa.int32()), pa.array(low, pa.int16()), pa.array(high, pa.int16())], names=["a", "h", "doc_id", "rid", "place", "low", "high"])
+
+    return rows.select("doc_id", "rid", "text").mapInArrow(run, "a long, h long, doc_id long, rid long, place int, low short, high short")
+
+
+def halved(texts: DataFrame, found: DataFrame, size: int, wide: int) -> DataFrame:
+    """found with each neighbourhood cut at the multiples of `wide`, its distances from the anchor being ranges of those,
+    and dealt by the bytes that all windows of a range have in common."""
+    asked = found.groupBy("rid").agg(F.collect_list(F.struct("a", "place", "low", "high", F.col("doc_id").alias("doc"))).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, n, packed, at in zip(*(batch.column(x).to_pylist() for x in ("rid", "n_bytes", "packed", "at")), strict=True):
+                sums = Hashes(np.frombuffer(opened(packed, n), np.uint8))
+                cut = [(x["a"], x["doc"], x["place"], max(x["low"], c * wide), min(x["high"], c * wide + wide - 1), c) for x in at for c in range(x["low"] // wide, x["high"] // wide + 1)]
+                a, place, low, high, c = (np.array([x[i] for x in cut], np.int64) for i in (0, 2, 3, 4, 5))
+                common = sums.of(place - c * wide, place - (c * wide + wide - 1) + size)
+                key = mixed(common ^ a.view(np.uint64) ^ mixed(c.astype(np.uint64) + np.uint64(1024 * wide)))
+                h = sums.of(place - high, place - low + size) ^ (high * 1024 + low).astype(np.uint64)
+                columns = [key.view(np.int64), h.view(np.int64), [x[1] for x in cut], np.full(len(cut), rid), place, low, high]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["a", "h", "doc_id", "rid", "place", "low", "high"])
+
+    one = texts.dropDuplicates(["rid"])
+    return one.join(asked.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of")).select("rid", "n_bytes", "packed", "at").mapInArrow(run, "a long, h long, doc_id long, rid long, place int, low short, high short")
+
+
+def solved(texts: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
+    """(a, h, one, ones, others): of each neighbourhood its first occurrence, and the windows that match elsewhere there and
+    in its other occurrences, as [distance of the first, of the last, 1 if they start earlier, too, else 0, ...]."""
+    roles = F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("role"), F.col("one.*")), F.struct(F.lit(1).alias("role"), F.col("other.*")))).otherwise(F.array(F.struct(F.lit(0).alias("role"), F.col("one.*"))))
+    asked = kinds.select("a", "h", F.explode(roles).alias("x")).select("a", "h", "x.*")
+    asked = asked.groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("a", "h", "role", "doc_id", "place", "low", "high")).alias("at"))
+    fields = {"a": pa.int64(), "h": pa.int64(), "role": pa.int32(), "doc_id": pa.int64(), "rid": pa.int64(), "place": pa.int32(), "low": pa.int16(), "high": pa.int16(), "raw": pa.binary()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbourhoods as rows; those of large buckets window by window, with the window's hash and no bytes."""
+        """The neighbourhoods' bytes."""
         for batch in batches:
-            out: list[tuple] = []
-            columns = (batch.column(x).to_pylist() for x in ("doc_id", "rid", "n_bytes", "packed", "at"))
-            for doc, rid, n, packed, at in zip(*columns, strict=True):
+            held: list[dict] = []
+            for rid, n, packed, at in zip(*(batch.column(x).to_pylist() for x in ("rid", "n_bytes", "packed", "at")), strict=True):
                 raw = opened(packed, n)
-                sums = None
-                for x in at:
-                    place = x["w"] >> 20
-                    a, b = place - (x["w"] >> 10 & 1023), place - (x["w"] & 1023)
-                    if not x["large"]:
-                        out.append((x["a"], doc, rid, a, raw[a : b + size]))
-                        continue
-                    sums = sums or Hashes(np.frombuffer(raw, np.uint8))
-                    starts = np.arange(a, b + 1)
-                    out += [(h ^ x["a"], doc, rid, s, None) for h, s in zip(sums.of(starts, starts + size).view(np.int64).tolist(), starts.tolist(), strict=True)]
-                if len(out) > 20_000:
-                    yield as_batch(out)
-                    out = []
-            yield as_batch(out)
-
-    def as_batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "doc_id", "rid", "start", "raw"])
-
-    pieces = staged(texts.mapInArrow(cut, "a long, doc_id long, rid long, start long, raw binary").dropDuplicates(["a", "rid", "start"]), "suffix_pieces")
+                held += [x | {"rid": rid, "raw": raw[x["place"] - x["high"] : x["place"] - x["low"] + size]} for x in at]
+                while len(held) > 4000:
+                    yield pa.RecordBatch.from_pylist(held[:4000], pa.schema(fields))
+                    held = held[4000:]
+            yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffix order of blocks of whole buckets; the rows come sorted by bucket."""
-        held: list[pd.DataFrame] = []
+        held: list[pa.RecordBatch] = []
         weight = 0
         for batch in batches:
-            part = batch.to_pandas()
-            held.append(part)
-            weight += int(part["raw"].str.len().sum())
-            if weight >= BLOCK:
-                rows = pd.concat(held, ignore_index=True)
-                a = rows["a"].to_numpy()
-                ends = np.flatnonzero(np.append(a[1:] != a[:-1], False)) + 1  # the last bucket may go on
-                grown = np.cumsum(rows["raw"].str.len().to_numpy())
-                at = 0
-                while len(ends):
-                    base = grown[at - 1] if at else 0
-                    fit = ends[(ends > at) & (grown[ends - 1] - base >= BLOCK)]
-                    if not len(fit):
-                        break
-                    yield from solved(rows.iloc[at : fit[0]])
-                    at = int(fit[0])
-                held = [rows.iloc[at:]]
-                weight = int(grown[-1] - (grown[at - 1] if at else 0))
-        if held:
-            yield from solved(pd.concat(held, ignore_index=True))
-
-    def solved(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        lengths = rows["raw"].str.len().to_numpy().astype(np.int64)
-        raw = np.frombuffer(b"".join(rows["raw"]), np.uint8)
-        base, windows = np.cumsum(lengths) - lengths, lengths - size + 1
-        of = np.repeat(np.arange(len(rows)), windows)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        place = rows["start"].to_numpy()[of] + inside
-        doc = rows["doc_id"].astype("Int64")
-        known = doc.notna().to_numpy()
-        rank = np.empty(len(of), np.int64)
-        rank[np.lexsort((place, rows["rid"].to_numpy()[of], doc.fillna(0).to_numpy(np.int64)[of], known[of]))] = np.arange(len(of))
-        anywhere, earlier = matched(raw, base[of] + inside, rank, size)
-        rids, spans = [], []
-        kind = np.where(anywhere, 1 + earlier, 0)
-        change = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (of[1:] != of[:-1])]))
-        for s, e in zip(change.tolist(), [*change[1:].tolist(), len(kind)], strict=True):
-            if kind[s]:
-                rids.append(rows["rid"].iat[of[s]])
-                spans.append([place[s], place[e - 1], kind[s] - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["rid", "span"])
-
-    small = pieces.where("raw is not null")
-    partly = small.repartition("a").sortWithinPartitions("a").mapInArrow(ordered, "rid long, span array<long>")
-    single = pieces.where("raw is null").select("a", "doc_id", "rid", "start")
-    meeting = single.groupBy("a").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "start")).alias("example")).where("n > 1")
-    alone = F.when(F.struct("doc_id", "rid", "start").eqNullSafe(F.col("example")), 0).otherwise(1)
-    single = single.join(meeting, "a").select("rid", F.array("start", "start", alone.cast("long")).alias("span"))
-    return whole.unionAll(partly).unionAll(single).groupBy("rid").agg(F.collect_list("span").alias("spans"))
+            held.append(batch)
+            weight += batch.nbytes
+            if weight < BLOCK:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            a = rows["a"].to_numpy()
+            ends = np.flatnonzero(a[1:] != a[:-1]) + 1  # the last bucket may go on
+            if len(ends):
+                yield block(rows.slice(0, int(ends[-1])))
+                held = rows.slice(int(ends[-1])).to_batches()
+                weight = 0
+        if held and (rows := pa.Table.from_batches(held).combine_chunks()).num_rows:
+            yield block(rows)
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        a, h, role, rid, place, low, high = (rows[x].to_numpy().astype(np.int64) for x in ("a", "h", "role", "rid", "place", "low", "high"))
+        once = np.concatenate([[True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]) | (role[1:] != role[:-1])])  # a row that occurs twice was cut twice
+        rows = rows.filter(pa.array(once))
+        a, h, role, rid, place, low, high = (x[once] for x in (a, h, role, rid, place, low, high))
+        raw = rows["raw"].combine_chunks()
+        lengths = high - low + size
+        doc = rows["doc_id"].combine_chunks()
+        known, doc = ~np.asarray(doc.is_null()), np.asarray(doc.fill_null(0))
+        order = np.lexsort((place, rid, doc, known))
+        alike = np.concatenate([[False], np.all([x[order][1:] == x[order][:-1] for x in (place, rid, doc, known)], axis=0)])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(~alike)
+        bucket = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]).astype(np.int64)]))
+        kind = factors(bucket, rank, low, high, np.frombuffer(b"".join(raw.to_pylist()), np.uint8), np.cumsum(lengths) - lengths, size)
+        row, first, last, value = stretches(kind)
+        spans: list[list[int]] = [[] for _ in a]
+        for r, *span in zip(row.tolist(), first.tolist(), last.tolist(), (value == 2).astype(int).tolist(), strict=True):
+            spans[r] += span
+        new = np.flatnonzero(role == 0)
+        others = [spans[i + 1] if i + 1 < len(role) and role[i + 1] else [] for i in new.tolist()]
+        taken = [(i, x) for i, x in zip(new.tolist(), others, strict=True) if x or spans[i]]
+        at = np.array([i for i, _ in taken], np.int64)
+        own = rows.select(["doc_id", "rid", "place", "low", "high"]).take(pa.array(at)).combine_chunks()
+        one = pa.StructArray.from_arrays([own[c].combine_chunks() if own.num_rows else pa.array([], own[c].type) for c in own.column_names], names=own.column_names)
+        kinds = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(h[at]), one, pa.array([spans[i] for i, _ in taken], kinds), pa.array([x for _, x in taken], kinds)], names=["a", "h", "one", "ones", "others"])
+
+    pieces = texts.join(asked, F.col("rid") == F.col("of")).select("rid", "n_bytes", "packed", "at").mapInArrow(cut, "a long, h long, role int, doc_id long, rid long, place int, low short, high short, raw binary")
+    out = T.StructType().add("a", "long").add("h", "long").add(T.StructField("one", kinds.schema["one"].dataType)).add("ones", T.ArrayType(T.IntegerType())).add("others", T.ArrayType(T.IntegerType()))
+    return pieces.repartition("a").sortWithinPartitions("a", "h", "role").mapInArrow(ordered, out)
+
+
+def repeated(docs: DataFrame, size: int = SIZE, k: int = K, limit: int = LIMIT) -> DataFrame:
+    """(rid, spans): of each row with any, the windows that start elsewhere, too, as [place of the anchor, spans of
+    distances from it as solved() gives them]; the rows are those of keyed(docs)."""
+    if not 0 < k <= size or size - k >= 1024:
+        raise ValueError("an anchor must be shorter than the windows, by less than 1024 bytes")
+    rows = keyed(docs)
+    texts = shrunk(rows.drop("rest"))
+    anchors = staged(anchored(rows, size, k), "suffix_anchors")
+    wide, out = size - k + 1, []
+    while True:
+        # tables, not sums, are joined: Spark splits a hot key's rows then
+        shared = staged(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "suffix_shared")
+        found = staged(anchors.join(shared, "a"), "suffix_found")
+        place = F.struct("doc_id", "rid", "place", "low", "high")
+        kinds = staged(found.groupBy("a", "h").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")), "suffix_kinds")
+        large = staged(kinds.groupBy("a").count().where(F.col("count") > limit).select("a"), "suffix_large")
+        some = wide > 1 and not large.isEmpty()
+        fits = kinds.join(large, "a", "left_anti") if some else kinds
+        spans = staged(solved(texts, fits, size), "suffix_spans")
+        met = found.join(spans, ["a", "h"])
+        out.append(met.select("rid", F.struct("place", F.when(place.eqNullSafe(F.col("one")), F.col("ones")).otherwise(F.col("others")).alias("spans")).alias("span")).where(F.size("span.spans") > 0))
+        if not some:
+            break
+        wide = -(-wide // 2)
+        anchors = staged(halved(texts, found.join(large, "a"), size, wide), "suffix_anchors")
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionAll(more)
+    return every.groupBy("rid").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(spans: list, n: int, size: int, keep: str) -> np.ndarray:
     """Which of n bytes go."""
     edge = np.zeros(n + 1, np.int64)
     if spans:
-        x = np.array([s for s in spans if keep == "none" or s[2]], np.int64).reshape(-1, 3)
-        np.add.at(edge, x[:, 0], 1)
-        np.add.at(edge, x[:, 1] + size, -1)
+        x = np.array([y for s in spans for y in s["spans"]], np.int64).reshape(-1, 3)
+        place = np.repeat([s["place"] for s in spans], [len(s["spans"]) // 3 for s in spans])
+        some = (x[:, 2] > 0) | (keep == "none")
+        np.add.at(edge, (place - x[:, 0])[some], 1)
+        np.add.at(edge, (place - x[:, 1])[some] + size, -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def cleaned(docs: DataFrame, size: int = SIZE, keep: str = "none", k: int = K, bucket: int = BUCKET) -> DataFrame:
+def cleaned(docs: DataFrame, size: int = SIZE, keep: str = "none", k: int = K, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, rest) of each row; kept: the bytes that stay, in order; rest: a struct
     of the columns besides doc_id and text, their names after c_."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    spans = repeated(docs, size, k, bucket).withColumnRenamed("rid", "of")
+    spans = repeated(docs, size, k, limit).withColumnRenamed("rid", "of")
     texts = shrunk(keyed(docs))
     joined = texts.join(spans, F.col("rid") == F.col("of"), "left").select("doc_id", "n_bytes", "packed", "spans", "rest")
 
@@ -254,5 +262,5 @@ def first_kept(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), with every occurrence of a repeated passage removed."""
-    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept), with every occurrence of a repeated passage removed."""
+    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
