@@ -10,9 +10,11 @@ that it doesn't share with them are there. A window that is a licence by UNKNOWN
 an unknown licence, also in a text that has known ones.
 
 Ordinary paragraphs are drawn from at most SAMPLE documents, those with the smallest hashes of doc_id: of each the LINES
-with the smallest hashes, wherever they stand in it, that are not empty and don't speak of licences. Null and empty
+with the smallest hashes, wherever they stand in it, that are not empty and don't speak of licences; a paragraph gives
+at most WINDOWS windows. The driver gets the doc_ids first, then their lines. Null and empty
 texts have no licences; texts of any length are read whole; equal texts have equal results; rows are kept as they
 come, with or without a doc_id.
+Columns other than doc_id and text aren't looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import only, slices
 
 WINDOW, STEP, ORDERS, BUCKETS = 24, 12, (1, 2, 3), 1 << 14
-SAMPLE, LINES, SURE, UNKNOWN, CONFIRMED, OWN = 400, 8, 0.5, 0.95, 0.6, 0.75
+SAMPLE, LINES, WINDOWS, SURE, UNKNOWN, CONFIRMED, OWN = 400, 8, 6, 0.5, 0.95, 0.6, 0.75
 LEGAL = "licen[sc]|copyright|rights reserved|public domain"
 TOGETHER = 1_000_000
 WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9+]")
@@ -191,7 +193,7 @@ def fit(paragraphs: list[str], rounds: int = 400, seed: int = 1) -> Scanner:
             samples.append((noise(before) + w + noise(after), k))
     none = len(FAMILIES)
     for p in ordinary:
-        samples += [(p[i : i + WINDOW], none) for i in range(0, max(1, len(p) - WINDOW // 2), WINDOW)][:6]
+        samples += [(p[i : i + WINDOW], none) for i in range(0, max(1, len(p) - WINDOW // 2), WINDOW)][:WINDOWS]
         short, at = int(rng.integers(1, 9)), int(rng.integers(0, len(p)))
         samples.append((p[at : at + short], none))
     for _ in range(400):
@@ -236,10 +238,12 @@ def fit(paragraphs: list[str], rounds: int = 400, seed: int = 1) -> Scanner:
 def scanned(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, licenses, n_windows, score) of each row: licences separated by commas, empty if none."""
     source = only(docs, doc_id="long", text="string")
-    drawn = source.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = source.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    drawn = source.join(F.broadcast(ids), "doc_id")  # at most `sample` ids
     plain = F.filter(F.split("text", "\n"), lambda p: (F.trim(p) != "") & ~F.lower(p).rlike(LEGAL))
     hashed = F.array_sort(F.transform(plain, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))
-    paragraphs = [p for r in drawn.select(F.slice(hashed["p"], 1, LINES).alias("lines")).collect() for p in r["lines"] or []]
+    chosen = drawn.groupBy("doc_id").agg(F.min(F.slice(hashed["p"], 1, LINES)).alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    paragraphs = [p for r in chosen.collect() for p in r["lines"] or []]
     scanner = fit(paragraphs)
     shipped = docs.sparkSession.sparkContext.broadcast((scanner.weights, scanner.bias, scanner.temperature))  # of fixed size
 
