@@ -19,6 +19,7 @@ All pairs can't be put into one tree, so texts are brought together by shingles,
 
 Null texts count as empty. A text without words has no shingle and links with nothing. Rows alike are linked (unless
 they have no words). A component's id is its least doc_id; rows without a doc_id don't count for it.
+Columns other than doc_id and text aren't looked at, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,13 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import groups, only, slices, staged
+from .shared import apart, groups, only, slices, staged
 from .shingles import shingle_sets
 
 PERCENT, WORDS = 80, 5
 GROUPS, FINE, FAN, HEAD = 64, 512, 16, 8
 #: Texts hashed together (characters), share of the hashes counted first, hashes in a range, texts of a block.
 TOGETHER, SHARE, RANGE, BLOCK = 1_000_000, 0.4, 2_000_000, 512
+#: Characters of a text for each of its shingles, about; it sets how many ranges there are, nothing else.
+LETTERS = 6
 U = np.uint64
 
 
@@ -192,8 +195,8 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, words: int = WORD
     if not 0 < percent < 100:
         raise ValueError("percent must be above 0 and below 100")
     source = only(docs, doc_id="long", text="string")
-    rows = source.count()
-    ranges = max(4, -(-int(rows * 500 * SHARE) // RANGE))
+    characters = source.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    ranges = max(4, -(-int(characters / LETTERS * SHARE) // RANGE))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +235,8 @@ def linked_components(docs: DataFrame, percent: int = PERCENT, words: int = WORD
     roots = components(staged(edges, "links"))
 
     labels = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    labels = labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = labels.join(apart(least, "root").hint("merge"), "root").select("key", "component_id")
     out = texts.join(labels, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

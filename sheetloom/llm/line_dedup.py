@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import small_batches, staged
+from .shared import apart, small_batches, staged
 
 EDITS, MIN_CHARS, EXACT_CHARS = 2, 40, 1
 #: Characters after the first difference that a pair is held against first.
@@ -171,7 +171,12 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     lines then come together, and pairs are verified where they meet, so that none but the linked are put out."""
     met = keys_of(lines, edits, "lid").groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max("indexed").alias("indexed"))
     live = staged(met.where("indexed and lo != hi").select("key"), "line_keys")
-    rows = staged(marked(keys_of(lines, edits, "lid", "line", "size"), live), "line_rows")
+    if live.count() <= FILTER // 8:
+        rows = marked(keys_of(lines, edits, "lid", "line", "size"), live)
+    else:  # the table of bits would let most keys through: keys meet without their lines, which follow
+        held = keys_of(lines, edits, "lid").join(live.hint("merge"), "key")
+        rows = held.join(lines.hint("merge"), "lid")
+    rows = staged(rows, "line_rows")
     index = rows.where("indexed").select("key", F.col("lid").alias("x"), F.col("line").alias("x_line"), F.col("size").alias("x_size"))
     probe = rows.select("key", F.col("lid").alias("y"), F.col("line").alias("y_line"), F.col("size").alias("y_size"))
     longer = F.col("y_size") - F.col("x_size")
@@ -194,7 +199,8 @@ def doomed(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exac
     else:
         tagged = own.where("n > 1").select("lid", F.col("lid").alias("class"), "owner")
     tagged = staged(tagged, "line_classes")
-    classes = tagged.select("lid", "class").join(tagged.groupBy("class").agg(F.min("owner").alias("owner")), "class")
+    owners = tagged.groupBy("class").agg(F.min("owner").alias("owner"))
+    classes = tagged.select("lid", "class").join(apart(owners, "class").hint("merge"), "class")
     places = marked(lines.select("doc_id", "pos", F.col("lid").alias("key")), tagged.select(F.col("lid").alias("key"))).withColumnRenamed("key", "lid")
     found = places.join(classes, "lid").select("doc_id", "pos", "class", "owner")
     first = found.where("doc_id = owner").groupBy("doc_id", "class").agg(F.min("pos").alias("first"))

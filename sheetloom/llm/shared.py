@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Where it is unset, as in a test on one machine, a temporary folder is set for the session.
+    Where it is unset on a local master, as in a test, a temporary folder is set for the session; on a cluster that is an
+    error, for a folder of one machine is no other's.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="sheetloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -43,16 +46,24 @@ def released() -> None:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: what follows doesn't compute it anew,
-    and a lost executor takes nothing of it along."""
+    and a lost executor takes nothing of it along. The table is deleted when the driver's JVM ends."""
     spark = df.sparkSession
     # shuffle files go when the driver's objects for them do; without this, those of tables staged before would stay long
     released()
     spark.sparkContext._jvm.System.gc()
     at = f"{shared_dir(spark).rstrip('/')}/staged/{re.sub('[^a-z0-9_]', '_', label)}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.block.size", 16 << 20).parquet(at)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt by a hash that no join deals by. Put between a sum over keys and a join by them, it makes the join deal
+    both its sides itself; Spark then sees how much of each key there is, and splits a hot key's rows."""
+    return df.repartition(F.xxhash64(*keys))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows are read, and go to Python, in batches of a few megabytes, so that memory doesn't depend on how long texts are."""
     reachable()
