@@ -189,14 +189,14 @@ def repeated(docs: DataFrame, size: int = SIZE, k: int = K, limit: int = LIMIT)
     while True:
         # tables, not sums, are joined: Spark splits a hot key's rows then
         shared = staged(anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "suffix_shared")
-        found = staged(anchors.join(shared, "a"), "suffix_found")
+        found = staged(anchors.join(shared.hint("merge"), "a"), "suffix_found")
         place = F.struct("doc_id", "rid", "place", "low", "high")
         kinds = staged(found.groupBy("a", "h").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")), "suffix_kinds")
         large = staged(kinds.groupBy("a").count().where(F.col("count") > limit).select("a"), "suffix_large")
         some = wide > 1 and not large.isEmpty()
         fits = kinds.join(large, "a", "left_anti") if some else kinds
         spans = staged(solved(texts, fits, size), "suffix_spans")
-        met = found.join(spans, ["a", "h"])
+        met = found.join(spans.hint("merge"), ["a", "h"])
         out.append(met.select("rid", F.struct("place", F.when(place.eqNullSafe(F.col("one")), F.col("ones")).otherwise(F.col("others")).alias("spans")).alias("span")).where(F.size("span.spans") > 0))
         if not some:
             break
@@ -244,11 +244,11 @@ def cleaned(docs: DataFrame, size: int = SIZE, keep: str = "none", k: int = K, l
     return joined.mapInArrow(run, schema)
 
 
-def first_kept(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def first_kept(docs: DataFrame, size: int = SIZE, k: int = K) -> DataFrame:
     """docs, all columns, with all but the first occurrence of each repeated passage removed. A character that a cut
     went through goes, too; n_chars, if there, is counted anew."""
 
-    out = cleaned(docs, size, "first")
+    out = cleaned(docs, size, "first", k)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
