@@ -9,7 +9,7 @@ it gives way to the article or main element around it, and takes along siblings
 text is that of the container and those siblings, without blocks of links.
 
 Null and empty pages give an empty text. Pages of any length and depth are read whole; equal pages give equal
-texts. Columns other than page_id, url and html aren't looked at.
+texts; of elements with equal points the first in the page counts. An empty table gives no rows. Columns other than page_id, url and html aren't looked at.
 """
 
 from __future__ import annotations

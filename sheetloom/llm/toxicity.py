@@ -10,6 +10,8 @@ log-odds in the training texts.
 The fit uses at most TOXIC and CLEAN labelled rows, those with the smallest hashes of doc_id. Null and empty texts
 are scored as having no words. Texts of any length are read whole; equal texts have equal scores. Rows of labels
 without a label or whose doc_id is no document's are ignored. Only the text makes the score.
+Columns other than doc_id and text aren't looked at, whatever their names; an empty table gives no rows, and without
+labels every text has the same low score. Of labels of one doc_id that disagree, toxic counts.
 """
 
 from __future__ import annotations
@@ -343,7 +345,7 @@ def held_out(key: str = "doc_id"):
 def trained(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Network:
     """A network fitted to labelled rows of docs that aren't held out."""
     marked = only(labels, doc_id="long", toxic="int").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    marked = marked.dropDuplicates(["doc_id"])
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # labels that disagree: toxic
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = marked.where("toxic = 1").orderBy(*order).limit(toxic).unionAll(marked.where("toxic = 0").orderBy(*order).limit(clean))
     rows = only(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
