@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import reachable
+from . import text
 
 FAR = 999
 
@@ -20,17 +21,60 @@ def edits(a: Column, b: Column, most: int = 5) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 100: equal 100, one within the other 80, without a common character (longer than 3) 0, else by edits."""
+    """0 to 100, case aside: equal 100, one within the other 80, without a common character (both longer than 3) 0, else
+    by edits, which count as FAR where the lengths differ by more than 5."""
+    return _likeness(F.upper(a), F.upper(b))
+
+
+def _likeness(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    apart = (longest > 3) & (F.size(F.array_intersect(F.split(a, ""), F.split(b, ""))) == 0)
-    by_edits = F.floor(F.lit(100.0) * (1 - F.levenshtein(a, b) / longest))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(a == b, 100).when(F.contains(a, b) | F.contains(b, a), 80).when(apart, 0).otherwise(by_edits).cast("int")
+    apart = (F.length(a) > 3) & (F.length(b) > 3) & (F.size(F.array_intersect(F.split(a, ""), F.split(b, ""))) == 0)
+    distance = edits(a, b)
+    by_edits = F.when(distance >= longest, 0.0).otherwise(F.lit(100.0) * (1 - distance / longest))
+    none = F.coalesce((F.length(a) == 0) | (F.length(b) == 0), F.lit(True))
+    return F.when(none, 0.0).when(a == b, 100.0).when(F.contains(a, b) | F.contains(b, a), 80.0).when(apart, 0.0).otherwise(by_edits)
+
+
+def best_likeness(pairs: list[tuple[Column, Column]]) -> Column:
+    """The likeness of the most alike of several pairs of forms of the same two values."""
+    return F.greatest(*[likeness(a, b) for a, b in pairs], F.lit(0.0))
+
+
+def name_likeness(a: Column, b: Column, words) -> Column:
+    """Of two names: as written, or of their words (a function from a text to its words) without what is between them."""
+    whole = lambda c: F.array_join(words(c), "")
+    return best_likeness([(text.fold(a), text.fold(b)), (whole(a), whole(b))])
+
+
+def model_likeness(a: Column, b: Column) -> Column:
+    """Of two model codes: as written, or of their letters and digits alone."""
+    return best_likeness([(F.trim(a), F.trim(b)), (text.compact_model(a), text.compact_model(b))])
+
 
+def identifier_likeness(a: Column, b: Column, padded: bool = False) -> Column:
+    """0 to 1, of the letters and digits: 1 if a choice of 0 and O makes them equal, else the best of the choices."""
+    x, y = (text.compact_number(c) if padded else text.compact(c) for c in (a, b))
+    left, right = text.zero_choices(x), text.zero_choices(y)
+    best = F.array_max(F.flatten(F.transform(left, lambda v: F.transform(right, lambda w: likeness(v, w)))))
+    return F.when((x == "") | (y == ""), 0.0).when(F.arrays_overlap(left, right), 1.0).otherwise(F.coalesce(best, F.lit(0.0)) / 100.0)
 
-def number_likeness(a: Column, b: Column, tolerance: float = 0.1) -> Column:
-    """1 for equal numbers, falling to 0 where they differ by `tolerance` of the larger."""
-    top = F.greatest(F.abs(a), F.abs(b))
-    return F.when(top == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(a - b) / (top * tolerance)))
+
+def number_likeness(a: Column, b: Column, tolerance: float) -> Column:
+    """0 to 1, of a number and the least distant of several (an array): 1 within a tolerance, then falling to 0 over as much
+    again, at least 1."""
+    off = F.array_min(F.transform(a, lambda v: F.abs(v - b)))
+    return F.coalesce(F.when(off <= tolerance, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (off - tolerance) / max(tolerance, 1.0))), F.lit(0.0))
+
+
+def number_nearness(a: Column, b: Column, most: float) -> Column:
+    """0 to 100, of two numbers: 100 within a tenth of `most`, 0 from `most` on, between them by their distance."""
+    off = F.abs(a - b)
+    return F.coalesce(F.when(off >= most, 0.0).when(off <= most / 10, 100.0).otherwise(F.lit(100.0) * (1 - off / most)), F.lit(0.0))
+
+
+def numbers_match(a: Column, b: Column, most: float) -> Column:
+    """Whether one of several numbers (an array) is within a distance of another."""
+    return F.coalesce(F.exists(a, lambda v: F.abs(v - b) <= most), F.lit(False))
 
 
 def number_variants(c: Column) -> Column:
@@ -51,6 +95,61 @@ def zero_tolerant(a: Column, b: Column) -> Column:
     return (a == b) | ((F.length(longer) == F.length(shorter) + 1) & one_less)
 
 
+def confused_edits(costs: dict[str, dict[str, float]], most: float = 1.0):
+    """An Arrow function: edits from one text to another where a substitution that is read so in more than a tenth of the
+    cases (costs: character -> what it is read as -> share) counts half; null where lengths tell that there are more."""
+    reachable()
+
+    @F.pandas_udf(T.DoubleType())
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _confused(x, y, costs, most) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return distance
+
+
+def _confused(a: str, b: str, costs: dict[str, dict[str, float]], most: float) -> float | None:
+    if a == b:
+        return 0.0
+    if abs(len(a) - len(b)) > int(most) + 1:
+        return None
+    half = {(x, y): 0.5 for x, read in costs.items() for y, share in read.items() if share > 0.10}
+    return aligned(a, b, 1.0, half)[0]
+
+
+def replaced_letters(a: Column, b: Column) -> Column:
+    """(expected, found) of the characters that stand for each other where stretches of two texts were replaced, as far as
+    both stretches go; what was put in or left out gives nothing."""
+    reachable()
+    kind = T.ArrayType(T.StructType().add("expected", "string").add("found", "string"))
+    return F.pandas_udf(_replaced, kind)(a, b)
+
+
+def _replaced(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        pairs = []
+        if x and y:
+            for tag, i, i2, j, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                if tag == "replace":
+                    pairs += [{"expected": p, "found": q} for p, q in zip(x[i:i2], y[j:j2], strict=False) if p != q]
+        out.append(pairs)
+    return pd.Series(out)
+
+
+def relatedness(written: Column, final: Column) -> Column:
+    """0 to 1: how much a final value has to do with what was written. Nothing written, or one within the other: 1; else
+    the best ratio with the value, its part before a dash, or one of its words; letters and digits alone count."""
+    reachable()
+    a, whole = text.compact(written), text.compact(final)
+    parts = F.concat(F.array(whole, text.compact(F.get(F.split(final, " - "), F.lit(0)))), F.transform(F.split(F.replace(final, F.lit(" - "), F.lit(" ")), " "), text.compact))
+    within = (F.length(a) >= 3) & (F.contains(whole, a) | F.contains(a, whole))
+    return F.when(F.coalesce(a, F.lit("")) == "", 1.0).when(within, 1.0).otherwise(F.pandas_udf(_best_ratio, T.DoubleType())(a, F.array_distinct(parts)))
+
+
+def _best_ratio(a: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([max((difflib.SequenceMatcher(None, x, p).ratio() for p in (ps if ps is not None else ()) if p), default=0.0) if x else 1.0 for x, ps in zip(a, parts, strict=True)], dtype="float64")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Twice the matched characters over all, by longest matching blocks."""
     reachable()

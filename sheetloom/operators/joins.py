@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity, text
+
 
 def filtered(df: DataFrame, **values: list | None) -> DataFrame:
     """Rows whose columns are among the given values; None is no condition, an empty list fits no row."""
@@ -22,23 +24,49 @@ def best(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
 
 
-def lookup_chain(rows: DataFrame, entries: DataFrame, id_column: str = "row_id") -> DataFrame:
-    """Plan entry of each row: by its order number, the entry most like it; else, if its sales order and model name one
-    order only, that one's. rows: id, of, ov, modelo, larg; entries: of, ov, modelo, larg, entry_ord.
+def lookup_chain(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(row_id, entry_ord, via): the plan entry of each row. Of the entries with its order number the best: 8 points for the
+    model, 4 for the sales order, 2 for the client and 1 for each measure within its tolerance, then the smaller sum of
+    differences, then the plan's order. If that one contradicts the row's sales order and its model, or there is none,
+    the entries with its sales order and model count, if they are one order's with one designation.
 
-    Likeness: the same model, then the smaller difference in width, then the plan's order.
+    rows: row_id, of, ov, cliente, modelo, comp, lbase, ltopo; entries: entry_ord, of, ov, cliente, designacao and the
+    measures. Models match where one holds the other, letters and digits alone.
     """
-    a, b = rows.alias("r"), entries.alias("e")
-    score = [F.desc(F.coalesce((F.col("r.modelo") == F.col("e.modelo")).cast("int"), F.lit(0))), F.coalesce(F.abs(F.col("r.larg") - F.col("e.larg")), F.lit(float("inf"))), F.col("e.entry_ord")]
-    picked = [F.col(f"r.{id_column}"), F.col("e.entry_ord")]
-    place = F.row_number().over(Window.partitionBy(f"r.{id_column}").orderBy(*score))
-    direct = a.join(b, F.col("r.of") == F.col("e.of")).withColumn("place", place).where("place = 1").select(*picked, F.lit("of").alias("via"))
-    rest = rows.join(direct.select(id_column), id_column, "left_anti").alias("r")
-    near = rest.join(b, (F.col("r.ov") == F.col("e.ov")) & (F.col("r.modelo") == F.col("e.modelo")))
-    unique = near.withColumn("place", place).withColumn("orders", F.size(F.collect_set("e.of").over(Window.partitionBy(f"r.{id_column}")))).where("place = 1 and orders = 1").select(*picked, F.lit("ov").alias("via"))
+    tolerance = {"comp": 50.0, "lbase": 30.0, "ltopo": 30.0}  # fixed values
+    r = rows.select("row_id", text.order_number_loose(F.col("of")).alias("r_of"), F.trim("ov").alias("r_ov"), text.compact(F.col("modelo")).alias("r_model"), text.compact(F.col("cliente")).alias("r_client"), *[F.col(c).alias(f"r_{c}") for c in tolerance])
+    e = entries.select("entry_ord", text.order_number_loose(F.col("of")).alias("e_of"), F.trim("ov").alias("e_ov"), text.compact(F.col("designacao")).alias("e_model"), text.compact(F.col("cliente")).alias("e_client"), *[F.col(c).alias(f"e_{c}") for c in tolerance])
+    known = lambda a: F.col(a).isNotNull() & (F.col(a) != "")
+    model = F.coalesce(known("r_model") & known("e_model") & (F.contains("e_model", "r_model") | F.contains("r_model", "e_model")), F.lit(False))
+    same_ov = F.coalesce(known("r_ov") & (F.col("r_ov") == F.col("e_ov")), F.lit(False))
+    client = F.coalesce(known("r_client") & (F.col("r_client") == F.col("e_client")), F.lit(False))
+    off = {c: F.abs(F.col(f"r_{c}") - F.col(f"e_{c}")) for c in tolerance}
+    points = reduce(lambda a, b: a + b, [model.cast("int") * 8, same_ov.cast("int") * 4, client.cast("int") * 2, *[F.coalesce((off[c] <= t).cast("int"), F.lit(0)) for c, t in tolerance.items()]])
+    apart = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in off.values()])
+    against = known("r_ov") & known("r_model") & ~F.coalesce(F.col("r_ov") == F.col("e_ov"), F.lit(False)) & ~model
+    met = r.join(e, F.col("r_of") == F.col("e_of"))
+    best = met.groupBy("row_id").agg(F.max_by(F.struct("entry_ord", against.alias("against")), F.struct(points.alias("p"), (-apart).alias("d"), (-F.col("entry_ord")).alias("o"))).alias("b"))
+    direct = best.where("not b.against").select("row_id", F.col("b.entry_ord").alias("entry_ord"), F.lit("of").alias("via"))
+    rest = r.where(known("r_ov") & known("r_model")).join(direct.select("row_id"), "row_id", "left_anti")
+    near = rest.join(e, F.col("r_ov") == F.col("e_ov")).where(model)
+    unique = near.groupBy("row_id").agg(F.min("entry_ord").alias("entry_ord"), F.count_distinct(F.struct(F.coalesce("e_of", F.lit("")), "e_model")).alias("n")).where("n = 1").select("row_id", "entry_ord", F.lit("ov").alias("via"))
     return direct.unionAll(unique)
 
 
+def substrings(c: Column, least: int = 1) -> Column:
+    """All parts of a text of at least so many characters, each once."""
+    n = F.length(c)
+    starts = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda size: F.substring(c, i, size)))))
+
+
+def within(parts: DataFrame, part: str, wholes: DataFrame, whole: str, least: int = 1) -> DataFrame:
+    """(part, whole): distinct values of which one holds the other, by a join with the parts of the longer: for labels, not texts."""
+    p = parts.select(part).distinct().where(F.length(part) >= least)
+    w = wholes.select(whole).distinct().select(whole, F.explode(substrings(F.col(whole), least)).alias(part))
+    return w.join(p, part).select(part, whole)
+
+
 def first_of(rows: DataFrame, key: str, *tiers: DataFrame) -> DataFrame:
     """rows with `value` from the first tier (key, value) that has its key, and the tier's number as `tier`."""
     out = rows
@@ -50,11 +78,10 @@ def first_of(rows: DataFrame, key: str, *tiers: DataFrame) -> DataFrame:
 
 
 def unique_containing(labels: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
-    """(label, code): names (name, code) within a label, where all such names have one code. Both are matched by the
-    words of the name's beginning, so that only names that share a word with a label are compared."""
-    word = lambda c: F.get(F.split(c, " "), F.lit(0))
-    words = labels.select("label", F.explode(F.array_distinct(F.split("label", " "))).alias("word"))
-    met = words.join(names.where(F.length("name") >= least).withColumn("word", word(F.col("name"))), "word").where(F.expr("contains(concat(' ', label, ' '), concat(' ', name, ' '))"))
+    """(label, code): names (name, code) that a label holds or that hold it, where all such names have one code."""
+    ab = within(names, "name", labels, "label", least)
+    ba = within(labels, "label", names, "name", least)
+    met = ab.unionByName(ba.select("name", "label")).distinct().join(names.select("name", "code"), "name")
     return met.groupBy("label").agg(F.count_distinct("code").alias("n"), F.min("code").alias("code")).where("n = 1").select("label", "code")
 
 
@@ -82,21 +109,53 @@ def token_join(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 50
     return left.select(a, F.explode(F.array_distinct("_tokens")).alias("_t")).join(t, "_t").groupBy(a, b).agg(F.count_distinct("_t").alias("shared"))
 
 
-def like_pieces(c: Column, size: int = 3) -> Column:
-    """All substrings of a few characters, for a join that finds candidates by a shared one."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size))))
-
-
-def top_like(written: DataFrame, known: DataFrame, key: str, value: str, score, k: int = 10, floor: int = 50) -> DataFrame:
-    """(key, value, score): for each distinct written key the k known values most like it, among those that share
-    three characters with it."""
-    a = written.select(key).distinct().withColumn("_p", F.explode(like_pieces(F.col(key))))
-    b = known.select(value).distinct().withColumn("_p", F.explode(like_pieces(F.col(value))))
-    pairs = a.join(b, "_p").select(key, value).distinct().withColumn("score", score(F.col(key), F.col(value))).where(F.col("score") >= floor)
+def top_like(written: DataFrame, known: DataFrame, key: str, value: str, score, k: int = 10, floor: float = 0.0, apart: int = 5) -> DataFrame:
+    """(key, value, score, place): for each distinct written key the k known values most like it by a score of edits that is
+    0 where lengths differ by more than `apart`, unless one holds the other. So values meet by length, and by being
+    parts of each other; nothing else can have a score."""
+    a, b = written.select(key).distinct(), known.select(value).distinct()
+    lengths = b.withColumn("_n", F.explode(F.sequence(F.greatest(F.length(value) - apart, F.lit(0)), F.length(value) + apart)))
+    near = a.withColumn("_n", F.length(key)).join(lengths, "_n").select(key, value)
+    held = within(a, key, b, value).select(key, value).unionByName(within(b, value, a, key).select(key, value)).where(F.abs(F.length(key) - F.length(value)) > apart)
+    pairs = near.unionByName(held).withColumn("score", score(F.col(key), F.col(value))).where((F.col("score") >= floor) & (F.col("score") > 0))
     order = Window.partitionBy(key).orderBy(F.desc("score"), value)
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def nearest_values(written: DataFrame, known: DataFrame, key: str, value: str, tolerance: float, k: int = 10) -> DataFrame:
+    """(key, value, score, place): for each distinct written number the k known numbers nearest to it, and how like they are.
+    Each written number is put among the known ones, and looks k of them back and k on."""
+    a = written.select(F.col(key).cast("double").alias("_x"), key).distinct().where("_x is not null")
+    b = known.select(F.col(value).cast("double").alias("_x")).distinct().where("_x is not null")
+    every = a.select("_x", F.col(key).alias("_k"), F.lit(None).cast("double").alias("_v")).unionByName(b.select("_x", F.lit(None).cast(a.schema[key].dataType).alias("_k"), F.col("_x").alias("_v")))
+    by = Window.orderBy("_x")  # distinct measures: some thousands
+    back = F.collect_list("_v").over(by.rangeBetween(Window.unboundedPreceding, 0))
+    on = F.collect_list("_v").over(by.rangeBetween(0, Window.unboundedFollowing))
+    sides = every.select("_x", "_k", F.slice(F.reverse(back), 1, k).alias("_b"), F.slice(on, 1, k).alias("_o")).where("_k is not null")
+    near = sides.select("_x", F.col("_k").alias(key), F.explode(F.array_union("_b", "_o")).alias(value))
+    order = Window.partitionBy(key).orderBy(F.abs(F.col("_x") - F.col(value)), value)
+    out = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return out.select(key, value, F.round(similarity.number_likeness(F.array("_x"), F.col(value), tolerance) * 100, 6).alias("score"), "place")
+
+
+def cascade(written: DataFrame, known: DataFrame, key: str, value: str, score, floor: float = 85.0) -> DataFrame:
+    """(key, value, tier): each distinct written value's known one: the equal one (exact), the only one that holds it or that
+    it holds (unique), the only one an edit away (edit), else the most like from a floor on (like)."""
+    a, b = written.select(key).distinct().where(F.col(key) != ""), known.select(value).distinct().where(F.col(value) != "")
+    exact = a.join(b, F.upper(key) == F.upper(value)).groupBy(key).agg(F.min(value).alias(value)).withColumn("tier", F.lit("exact"))
+    one = lambda pairs, name: pairs.distinct().groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias(value)).where("n = 1").select(key, value, F.lit(name).alias("tier"))
+    rest = a.join(exact.select(key), key, "left_anti")
+    unique = one(within(rest, key, b, value, 3).select(key, value).unionByName(within(b, value, rest, key, 3).select(key, value)), "unique")
+    rest = rest.join(unique.select(key), key, "left_anti")
+    # an edit apart: alike but for one character left out of either
+    less = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    met = rest.withColumn("_l", F.explode(less(F.col(key)))).join(b.withColumn("_l", F.explode(less(F.col(value)))), "_l").where(F.levenshtein(key, value) == 1)
+    edit = one(met.select(key, value), "edit")
+    rest = rest.join(edit.select(key), key, "left_anti")
+    like = top_like(rest, b, key, value, score, 1, floor).select(key, value, F.lit("like").alias("tier"))
+    return exact.unionByName(unique).unionByName(edit).unionByName(like)
+
+
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], padded: bool = False) -> DataFrame:
     """Rows at the same place of two tables: up to the shorter's end, or padded with empty texts up to the longer's."""
     if not padded:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similarity, text
 from ..functions.similarity import likeness
 
 # Measured rates and their consequences, in bits.
@@ -29,13 +30,13 @@ IDENTITY = ("of", "ov", "cliente", "modelo")
 
 def weighted(plan: DataFrame, fields: tuple[str, ...] = IDENTITY) -> DataFrame:
     """The plan with w_<field>: what an agreement on the entry's value is worth."""
-    n = plan.count()
-    out = plan
+    size = plan.agg(F.greatest(F.count("*"), F.lit(SMALLEST_PLAN)).cast("double").alias("_size"))
+    out = plan.crossJoin(F.broadcast(size))  # one row
     for f in fields:
-        u = F.col("_n") / F.lit(float(max(n, SMALLEST_PLAN)))
+        u = F.col("_n") / F.col("_size")
         w = F.when(u >= M[f], LEAST_BITS).otherwise(F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.log2(F.lit(M[f]) / u))))
-        counts = plan.groupBy(F.col(f).alias(f"_k_{f}")).agg(F.count("*").alias("_n")).select(f"_k_{f}", w.alias(f"w_{f}"))
-        out = out.join(counts, F.col(f).eqNullSafe(F.col(f"_k_{f}")), "left").drop(f"_k_{f}")
+        counts = plan.groupBy(F.col(f).alias(f"_k_{f}")).agg(F.count("*").alias("_n"))
+        out = out.join(counts, F.col(f).eqNullSafe(F.col(f"_k_{f}")), "left").withColumn(f"w_{f}", w).drop(f"_k_{f}", "_n")
     return out
 
 
@@ -60,13 +61,14 @@ def field_bits(field: str, sim: Column, w: Column) -> Column:
 
 
 def evidence(rows: DataFrame, plan: DataFrame, pool: DataFrame, dims: tuple[str, ...] = ()) -> DataFrame:
-    """pool with bits, agree (fields that agree), raw (sum of likeness) and exact (order number or sales order equal)."""
-    n = float(max(plan.count(), SMALLEST_PLAN))
+    """pool with bits, agree (fields that agree), raw (sum of likeness) and exact (order number or sales order equal), and
+    with the plan's phase_full and remaining, if it has them."""
     p = weighted(plan)
+    beside = [c for c in ("phase_full", "remaining") if c in plan.columns]
     known = plan.select(F.col("of").alias("_valid")).distinct()
     r = rows.join(known, F.col("of") == F.col("_valid"), "left").withColumn("of_valid", F.col("_valid").isNotNull()).drop("_valid")
     left = r.select("row_id", "of_valid", *[F.col(f).alias(f"r_{f}") for f in (*IDENTITY, *dims)])
-    right = p.select("plan_ord", *[F.col(f).alias(f"e_{f}") for f in (*IDENTITY, *dims)], *[f"w_{f}" for f in IDENTITY])
+    right = p.select("plan_ord", "_size", *beside, *[F.col(f).alias(f"e_{f}") for f in (*IDENTITY, *dims)], *[f"w_{f}" for f in IDENTITY])
     j = pool.join(left, "row_id").join(right, "plan_ord")
     for f in IDENTITY:
         a, b = F.col(f"r_{f}").cast("string"), F.col(f"e_{f}").cast("string")
@@ -75,17 +77,17 @@ def evidence(rows: DataFrame, plan: DataFrame, pool: DataFrame, dims: tuple[str,
     bits.append(F.when(F.col("of_valid") & (F.col("s_of") < 0.9), VETO).otherwise(0.0))
     agree = [F.coalesce((F.col(f"s_{f}") >= 0.55).cast("int"), F.lit(0)) for f in IDENTITY]
     if dims:
-        j = joint_dims(j, plan, dims, n)
+        j = joint_dims(j, plan, dims, F.col("_size"))
         against = reduce(lambda a, b: a + b, [F.coalesce((F.col(f"r_{d}") != F.col(f"e_{d}")).cast("int"), F.lit(0)) for d in dims])
         bits += [F.coalesce("w_dims", F.lit(0.0)), F.greatest(against * DIM_DISAGREES, F.lit(DIM_DISAGREES_CAP))]
         agree += [F.coalesce((F.col(f"r_{d}") == F.col(f"e_{d}")).cast("int"), F.lit(0)) for d in dims]
     total = reduce(lambda a, b: a + b, bits)
     raw = reduce(lambda a, b: a + b, [F.coalesce(f"s_{f}", F.lit(0.0)) for f in IDENTITY])
     exact = F.coalesce(F.col("s_of") >= 1, F.lit(False)) | F.coalesce(F.col("s_ov") >= 1, F.lit(False))
-    return j.select("row_id", "plan_ord", F.col("e_of").alias("of"), F.col("e_modelo").alias("modelo"), F.round(total, 6).alias("bits"), reduce(lambda a, b: a + b, agree).alias("agree"), F.round(raw, 6).alias("raw"), exact.alias("exact"))
+    return j.select("row_id", "plan_ord", F.col("e_of").alias("of"), F.col("e_modelo").alias("modelo"), F.round(total, 6).alias("bits"), reduce(lambda a, b: a + b, agree).alias("agree"), F.round(raw, 6).alias("raw"), exact.alias("exact"), *beside)
 
 
-def joint_dims(j: DataFrame, plan: DataFrame, dims: tuple[str, ...], n: float) -> DataFrame:
+def joint_dims(j: DataFrame, plan: DataFrame, dims: tuple[str, ...], n: Column) -> DataFrame:
     """j with w_dims: -log2 of how common the agreeing measures are together; the counts come from one cube."""
     agrees = [F.coalesce(F.col(f"r_{d}") == F.col(f"e_{d}"), F.lit(False)) for d in dims]
     mask = reduce(lambda a, b: a + b, [a.cast("int") * (1 << i) for i, a in enumerate(agrees)])
@@ -97,48 +99,52 @@ def joint_dims(j: DataFrame, plan: DataFrame, dims: tuple[str, ...], n: float) -
         j = j.withColumn(f"_v{i}", F.when(agrees[i], F.col(f"e_{d}")))
     on = reduce(lambda a, b: a & b, [F.col(f"_v{i}").eqNullSafe(F.col(f"_c{i}")) for i in range(len(dims))], F.col("_m") == F.col("_mask"))
     floor = reduce(lambda a, b: a * b, [F.when(F.col("_m").bitwiseAND(1 << i) > 0, F.lit(DIM_FLOOR.get(d, 0.15))).otherwise(1.0) for i, d in enumerate(dims)])
-    u = F.greatest(F.col("_n") / F.lit(n), floor)
+    u = F.greatest(F.col("_n") / n, floor)
     out = j.join(cube, on, "left").withColumn("w_dims", F.when(F.col("_m") > 0, F.least(F.lit(DIM_CAP), -F.log2(u))))
     return out.drop("_mask", "_n", "_m", *[f"_c{i}" for i in range(len(dims))], *[f"_v{i}" for i in range(len(dims))])
 
 
+def order_of(scored: DataFrame) -> list[Column]:
+    """Ascending, the best first: bits, agreement, likeness, exact identity, room in the phase, what remains, the plan's order."""
+    extra = [F.col("phase_full").cast("int")] if "phase_full" in scored.columns else []
+    extra += [F.coalesce("remaining", F.lit(float("inf")))] if "remaining" in scored.columns else []
+    return [-F.col("bits"), -F.col("agree"), -F.col("raw"), 1 - F.col("exact").cast("int"), *extra, F.col("plan_ord")]
+
+
 def ranked(scored: DataFrame) -> DataFrame:
-    """scored with place: bits, agreement, likeness, exact identity, then the plan's order."""
-    w = Window.partitionBy("row_id").orderBy(F.desc("bits"), F.desc("agree"), F.desc("raw"), F.desc("exact"), "plan_ord")
-    return scored.withColumn("place", F.row_number().over(w))
+    """scored with place."""
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("row_id").orderBy(*order_of(scored))))
 
 
 def winners(scored: DataFrame) -> DataFrame:
     """(row_id, plan_ord, of, bits, margin, sibling_margin, rivals, mode): the best entry; margin to the best of another
-    order, and to the best of its own order with another model; rivals within a bit."""
-    r = ranked(scored)
-    best = r.where("place = 1").select("row_id", "plan_ord", "of", "modelo", "bits")
-    b = best.select("row_id", F.col("of").alias("_of"), F.col("modelo").alias("_modelo"), F.col("bits").alias("_bits"))
-    other = r.where("place > 1").join(b, "row_id").groupBy("row_id").agg(
-        F.max(F.when(F.col("of") != F.col("_of"), F.col("bits"))).alias("rival"),
-        F.max(F.when((F.col("of") == F.col("_of")) & (F.col("modelo") != F.col("_modelo")), F.col("bits"))).alias("sibling"),
-        F.count_if((F.col("of") != F.col("_of")) & (F.col("bits") >= F.col("_bits") - CLOSE)).alias("rivals"),
-    )
-    out = best.join(other, "row_id", "left")
-    margin = F.round(F.col("bits") - F.col("rival"), 6)
-    strong = F.col("rival").isNull() | (margin >= DECISIVE)
-    return out.select("row_id", "plan_ord", "of", "bits", margin.alias("margin"), F.round(F.col("bits") - F.col("sibling"), 6).alias("sibling_margin"), F.coalesce("rivals", F.lit(0)).alias("rivals"), F.when(strong, "strong").otherwise("weak_guess").alias("mode"))
+    order, and to the best of its own order with another model; rivals within a bit. A row's candidates are put in order
+    as one array, so that nothing is computed or shuffled twice."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order_of(scored))]
+    held = scored.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*keys, "plan_ord", "of", "modelo", "bits"))).alias("all"))
+    best = held.select("row_id", "all", F.col("all")[0].alias("b"))
+    others = F.filter("all", lambda x: x["of"] != F.col("b.of"))
+    siblings = F.filter("all", lambda x: (x["of"] == F.col("b.of")) & (x["modelo"] != F.col("b.modelo")))
+    behind = lambda of: F.round(F.col("b.bits") - F.get(of, F.lit(0))["bits"], 6)
+    near = F.size(F.filter(others, lambda x: x["bits"] >= F.col("b.bits") - CLOSE)).cast("long")
+    out = best.select("row_id", "b.plan_ord", "b.of", "b.bits", behind(others).alias("margin"), behind(siblings).alias("sibling_margin"), near.alias("rivals"))
+    return out.withColumn("mode", F.when(F.col("margin").isNull() | (F.col("margin") >= DECISIVE), "strong").otherwise("weak_guess"))
 
 
 def posterior(scored: DataFrame, plan_size: int, temperature: float = 2.5, null_bits: float = 2.0, floor_bits: float = -8.0, null_prior: float = 0.059) -> DataFrame:
-    """(row_id, p_of, p_null, entropy): the share of the winner's order, and of no entry at all, among all weights
-    2 ** (bits / temperature); entries outside the pool count at a floor."""
+    """(row_id, p_of, p_modelo, p_null, entropy): the share of the winner's order, of its model, and of no entry at all, among
+    all weights 2 ** (bits / temperature); entries outside the pool count at a floor."""
     w = Window.partitionBy("row_id")
-    s = ranked(scored).withColumns({"_max": F.max("bits").over(w), "_of": F.max(F.when(F.col("place") == 1, F.col("of"))).over(w)})
+    s = ranked(scored).withColumns({"_max": F.max("bits").over(w), "_of": F.max(F.when(F.col("place") == 1, F.col("of"))).over(w), "_modelo": F.max(F.when(F.col("place") == 1, F.col("modelo"))).over(w)})
     lw = (F.col("bits") - F.col("_max")) / temperature
     weight = F.pow(F.lit(2.0), lw)
-    g = s.groupBy("row_id", "_max").agg(F.sum(weight).alias("z"), F.sum(F.when(F.col("of") == F.col("_of"), weight)).alias("own"), F.sum(weight * lw).alias("wl"), F.count("*").alias("n"))
+    g = s.groupBy("row_id", "_max").agg(F.sum(weight).alias("z"), F.sum(F.when(F.col("of") == F.col("_of"), weight)).alias("own"), F.sum(F.when(F.col("modelo") == F.col("_modelo"), weight)).alias("like"), F.sum(weight * lw).alias("wl"), F.count("*").alias("n"))
     null = F.lit(null_prior / (1 - null_prior)) * F.pow(F.lit(2.0), (F.lit(null_bits) - F.col("_max")) / temperature)
     rest_l = (F.lit(floor_bits) - F.col("_max")) / temperature
     rest = F.greatest(F.lit(plan_size) - F.col("n"), F.lit(0)) * F.pow(F.lit(2.0), rest_l)
     z = F.col("z") + null + rest
     plain = F.log2(z) - (F.col("wl") + null * F.log2(null) + rest * rest_l) / z
-    return g.select("row_id", F.round(F.col("own") / z, 9).alias("p_of"), F.round(null / z, 9).alias("p_null"), F.round(F.greatest(plain, F.lit(0.0)), 6).alias("entropy"))
+    return g.select("row_id", F.round(F.col("own") / z, 9).alias("p_of"), F.round(F.col("like") / z, 9).alias("p_modelo"), F.round(null / z, 9).alias("p_null"), F.round(F.greatest(plain, F.lit(0.0)), 6).alias("entropy"))
 
 
 def logistic(margin: Column, bits: Column, temperature: float = 3.0, outside: float = 4.0) -> Column:
@@ -152,12 +158,12 @@ def platt(p: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(a * F.log(q / (1 - q)) + b)))
 
 
-def cell(written: Column, proposed: Column, different_below: int = 60) -> Column:
+def cell(written: Column, proposed: Column, different_below: int = 50) -> Column:
     """confirmed, snapped, very_different or NA."""
     blank = written.isNull() | (F.trim(written) == "")
     none = proposed.isNull() | (F.trim(proposed) == "")
     same = F.upper(F.trim(written)) == F.upper(F.trim(proposed))
-    return F.when(none & blank, "NA").when(none, "very_different").when(blank, "snapped").when(same, "confirmed").when(likeness(F.upper(written), F.upper(proposed)) < different_below, "very_different").otherwise("snapped")
+    return F.when(none & blank, "NA").when(none, "very_different").when(blank, "snapped").when(same, "confirmed").when(likeness(written, proposed) < different_below, "very_different").otherwise("snapped")
 
 
 def hypotheses(rows: DataFrame, known_orders: DataFrame) -> DataFrame:
@@ -180,10 +186,92 @@ def chosen(hypothesis: DataFrame, bits: DataFrame) -> DataFrame:
     return j.groupBy("row_id").agg(F.max_by(F.struct("label", "of"), F.struct(F.round(F.col("bits") - F.col("cost"), 6), -F.col("cost"), "label")).alias("c")).select("row_id", "c.*")
 
 
+#: How far a measure may be off.
+TOLERANCE = {"comp": 50.0, "larg": 10.0, "lbase": 10.0, "ltopo": 10.0, "dbase": 30.0, "dtopo": 30.0}
+
+
 def match_score(r: dict[str, Column], e: dict[str, Column]) -> Column:
-    """0 to 10: points for equal identity fields and measures."""
-    points = {"of": 4, "ov": 2, "cliente": 1, "modelo": 3}
-    return reduce(lambda a, b: a + b, [F.coalesce(F.when(r[f] == e[f], n), F.lit(0)) for f, n in points.items()])
+    """How many of up to eleven fields agree: order number and sales order with any choice of 0 and O, the client by its words,
+    the model by its designation, measures within a tolerance, the thickness also if its comma was lost. Fields that
+    aren't given, and missing values, give nothing. esp of a row is an array of readings."""
+    clear = lambda c: F.when(~text.missing(c), c)
+    words = lambda c: F.array_join(text.tokens(c), "")
+    number = lambda c, padded: text.compact_number(c) if padded else text.compact(c)
+    points = []
+    for f in ("of", "ov"):
+        if f in r:
+            points.append(F.array_contains(text.zero_choices(number(clear(r[f]), f == "of")), number(e[f], f == "of")) & (number(e[f], f == "of") != ""))
+    if "cliente" in r:
+        points.append((words(clear(r["cliente"])) == words(e["cliente"])) & (words(e["cliente"]) != ""))
+    if "modelo" in r:
+        points.append(text.names_model(clear(r["modelo"]), e["modelo"]))
+    points += [F.abs(r[f] - e[f]) <= t for f, t in TOLERANCE.items() if f in r]
+    if "esp" in r:
+        points.append(similarity.numbers_match(r["esp"], e["esp"], 0.05))
+    return reduce(lambda a, b: a + b, [F.coalesce(p.cast("int"), F.lit(0)) for p in points])
+
+
+def halves_score(r: dict[str, Column], e: dict[str, Column]) -> Column:
+    """0 to 9: a point for each of nine fields that agrees, half of one where client, sales order or model agree in part: a
+    common word, one or two digits off, a common code. larg and material of the entry are the coil's and the plan's."""
+    words = lambda c, p: F.regexp_extract_all(F.upper(c), F.lit(f"({p})"), F.lit(1))
+    a, b = F.upper(F.trim(r["cliente"])), F.upper(F.trim(e["cliente"]))
+    x, y = F.trim(r["ov"]), F.trim(e["ov"])
+    apart = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1))))
+    m, des = F.upper(F.trim(r["modelo"])), F.upper(e["modelo"])
+    both = [
+        F.when((a != "") & (a == b), 1.0).when((a != "") & F.arrays_overlap(words(a, r"\S{3,}"), words(b, r"\S{3,}")), 0.5),
+        F.when((x != "") & (x == y), 1.0).when((F.length(x) == F.length(y)) & x.rlike("^[0-9]+$") & y.rlike("^[0-9]+$") & apart.between(1, 2), 0.5),
+        F.when((F.length(m) >= 4) & F.contains(des, m), 1.0).when(F.arrays_overlap(words(m, "[A-Z0-9]{4,}"), words(des, "[A-Z0-9]{4,}")), 0.5),
+    ]
+    # fixed values: tolerances
+    both += [F.when(F.abs(r[f] - e[f]) <= t, 1.0) for f, t in (("comp", 100.0), ("lbase", 30.0), ("ltopo", 30.0), ("esp", 0.05), ("larg", 20.0))]
+    both.append(F.when((e["material"] != "") & (F.upper(F.trim(e["material"])) == F.upper(F.trim(r["material"]))), 1.0))
+    return reduce(lambda p, q: p + q, [F.coalesce(p, F.lit(0.0)) for p in both])
+
+
+def declared_votes(pool: DataFrame, rows: DataFrame, plan: DataFrame, specs: dict[str, tuple[str, float | None, float]], cap: float = 4.0) -> DataFrame:
+    """pool (row_id, plan_ord) with bonus: bits that declared columns add to an entry. specs: written field -> (plan's column,
+    tolerance or None for texts, m). An entry that agrees gets log2(m / u), u the share of entries that would; no entry
+    loses anything, and none gets more than the cap."""
+    j = pool.join(rows.select("row_id", *[F.col(f).alias(f"_r_{f}") for f in specs]), "row_id")
+    j = j.join(plan.select("plan_ord", *[F.col(c).alias(f"_e_{f}") for f, (c, _, _) in specs.items()]), "plan_ord")
+    size = plan.agg(F.greatest(F.count("*"), F.lit(SMALLEST_PLAN)).cast("double").alias("_size"))
+    j = j.crossJoin(F.broadcast(size))  # one row
+    total = []
+    for f, (c, tolerance, m) in specs.items():
+        if tolerance is None:
+            known = plan.groupBy(text.fold(F.trim(F.col(c))).alias(f"_k_{f}")).agg(F.count("*").alias(f"_n_{f}"))
+            j = j.join(known, text.fold(F.trim(F.col(f"_r_{f}"))) == F.col(f"_k_{f}"), "left").drop(f"_k_{f}")
+            agrees = text.fold(F.trim(F.col(f"_r_{f}"))) == text.fold(F.trim(F.col(f"_e_{f}")))
+        else:
+            asked = rows.select(F.col(f).alias("_x")).distinct().where("_x is not null")
+            values = plan.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
+            met = band(asked, values, tolerance)
+            j = j.join(met.select(F.col("_x").alias(f"_k_{f}"), F.col("_n").alias(f"_n_{f}")), F.col(f"_r_{f}") == F.col(f"_k_{f}"), "left").drop(f"_k_{f}")
+            agrees = F.abs(F.col(f"_r_{f}") - F.col(f"_e_{f}")) <= tolerance
+        bits = F.greatest(F.lit(0.0), F.log2(F.lit(m) / (F.col(f"_n_{f}") / F.col("_size"))))
+        total.append(F.when(F.coalesce(agrees, F.lit(False)), F.coalesce(bits, F.lit(0.0))).otherwise(0.0))
+    return j.select("row_id", "plan_ord", F.round(F.least(reduce(lambda a, b: a + b, total), F.lit(cap)), 6).alias("bonus"))
+
+
+def band(asked: DataFrame, values: DataFrame, tolerance: float) -> DataFrame:
+    """(_x, _n): of each number asked how many known ones (_v, _n) are within a tolerance."""
+    cell = lambda c: F.floor(F.col(c) / max(tolerance, 1e-9))
+    v = values.withColumn("_c", F.explode(F.array(cell("_v") - 1, cell("_v"), cell("_v") + 1)))
+    met = asked.withColumn("_c", cell("_x")).join(v, "_c").where(F.abs(F.col("_x") - F.col("_v")) <= tolerance)
+    return met.groupBy("_x").agg(F.sum("_n").alias("_n"))
+
+
+def work_complete(pool: DataFrame) -> DataFrame:
+    """(row_id, complete): whether a row has eligible entries (score of 1 or more), and the phase is full in all of them.
+    pool: row_id, score, phase_full."""
+    fine = pool.where("score >= 1").groupBy("row_id").agg(F.bool_and("phase_full").alias("complete"))
+    return pool.select("row_id").distinct().join(fine, "row_id", "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+
+
+def phase_full(planned: Column, produced: Column) -> Column:
+    return F.coalesce((planned > 0) & (produced >= planned), F.lit(False))
 
 
 def coherent(rows: DataFrame, order: str = "row_index") -> DataFrame:

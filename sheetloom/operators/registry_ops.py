@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import within
+
 
 def listed(rows: DataFrame, *order: Column, limit: int = 50, most: int = 200, **equal) -> DataFrame:
     """Rows that equal the values given (None: any), in an order, at most `limit`, which is kept from 1 to `most`."""
@@ -23,11 +25,9 @@ def activated(versions: DataFrame, version: int, key: str = "version") -> DataFr
 
 def resolved_template(sheets: DataFrame, aliases: DataFrame, default: str) -> DataFrame:
     """sheets (sheet_id, label, stored, scrap) with template: stored name, the template of scrap rows, the exact alias of
-    the label, the longest alias within it, or the default; and why. aliases (alias, template) are matched by their
-    first word, so that only those sharing a word with a label are compared."""
+    the label, the longest alias (of three characters or more) within it, or the default; and why."""
     exact = aliases.select(F.col("alias").alias("label"), F.col("template").alias("_exact")).dropDuplicates(["label"])
-    words = sheets.select("label").distinct().select("label", F.explode(F.array_distinct(F.split("label", " "))).alias("_w"))
-    met = words.join(aliases.withColumn("_w", F.get(F.split("alias", " "), F.lit(0))), "_w").where(F.expr("contains(label, alias)"))
+    met = within(aliases, "alias", sheets, "label", 3).join(aliases, "alias")
     longest = met.groupBy("label").agg(F.max_by("template", F.struct(F.length("alias"), F.col("alias"))).alias("_longest"))
     j = sheets.join(exact, "label", "left").join(longest, "label", "left")
     why = F.when(F.col("stored").isNotNull(), "stored").when(F.col("scrap"), "scrap").when(F.col("_exact").isNotNull(), "alias").when(F.col("_longest").isNotNull(), "contained").otherwise("default")
@@ -35,11 +35,9 @@ def resolved_template(sheets: DataFrame, aliases: DataFrame, default: str) -> Da
 
 
 def alias_conflicts(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """(candidate, alias, kind): labels that are equal or of which one holds the other, found by a common word."""
-    words = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("_w"))
-    met = words(candidates, "candidate").join(words(existing, "alias"), "_w").select("candidate", "alias").distinct()
-    kind = F.when(F.col("candidate") == F.col("alias"), "exact").when(F.expr("contains(candidate, alias) or contains(alias, candidate)"), "contains")
-    return met.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    """(candidate, alias, kind): labels that are equal or of which one holds the other."""
+    both = within(candidates, "candidate", existing, "alias").select("candidate", "alias").unionByName(within(existing, "alias", candidates, "candidate").select("candidate", "alias"))
+    return both.distinct().withColumn("kind", F.when(F.col("candidate") == F.col("alias"), "exact").otherwise("contains"))
 
 
 def site_of(sheets: DataFrame, templates: DataFrame, head: str = "HQ") -> DataFrame:
@@ -53,10 +51,12 @@ def first_seen(files: DataFrame, keep: int = 20) -> DataFrame:
 
 
 def review_queue(cells: DataFrame, per_document: int = 3, low: float = 0.35, high: float = 0.75) -> DataFrame:
-    """Cells of middling confidence, the few of each document with the highest priority: weight * (1 - confidence),
-    half sure where nothing is known."""
-    doubt = 1 - F.coalesce("confidence", F.lit(0.5))
-    c = cells.where(F.col("confidence").isNull() | F.col("confidence").between(low, high)).withColumn("priority", F.round(F.col("weight") * doubt, 6))
+    """Cells of middling confidence (from low, below high) in which what was written and what is proposed differ and
+    neither is empty; the few of each document with the highest priority: weight * (1 - confidence). Cells without a
+    confidence are none of these."""
+    written, proposed = (F.coalesce(F.trim(c), F.lit("")) for c in ("written", "proposed"))
+    grey = (F.col("confidence") >= low) & (F.col("confidence") < high) & (written != "") & (proposed != "") & (written != proposed)
+    c = cells.where(grey).withColumn("priority", F.round(F.col("weight") * (1 - F.col("confidence")), 6))
     place = F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("priority"), "path"))
     return c.withColumn("place", place).where(F.col("place") <= per_document)
 

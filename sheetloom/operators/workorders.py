@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .ordered import waterfall
 
 #: Fixed value: steel, in kilograms for a square millimetre a millimetre thick, per millimetre of length.
@@ -64,35 +65,70 @@ def produced_in(phases: str, phase: str | None = None) -> Column:
     return F.greatest(F.get(of, F.size(of) - 1)["qty"], F.lit(0.0))
 
 
-def closed(text: Column) -> Column:
-    t = F.lower(F.trim(text))
+def closed(written: Column) -> Column:
+    t = F.lower(F.trim(written))
     return F.when(t.isin("s", "sim", "x", "1", "true", "fechado"), True).when(t.isin("n", "nao", "não", "0", "false", "aberto"), False)
 
 
 # -- weights -----------------------------------------------------------------------------------------------------
 
 
-def slices_of(length: Column, piece: Column) -> Column:
-    """How many pieces a slice gives: one for a piece over half of it, else as many as fit, at most 10."""
-    return F.when((piece <= 0) | (length <= 0), None).when(piece * 2 > length, 1).otherwise(F.least(F.floor(length / piece), F.lit(10))).cast("int")
+def slices_of(width: Column, base: Column, top: Column, length: Column | None = None, wanted: Column | None = None) -> Column:
+    """How many pieces a slice of a coil gives: as many bases and tops as lie side by side in its width; 0 if not one base
+    does. A slice over 100 longer than wanted gives two of a piece that fits once."""
+    times = lambda b, t: width > base * b + top * t
+    longer = F.coalesce(length - wanted > 100, F.lit(False)) if length is not None and wanted is not None else F.lit(False)
+    known = (F.coalesce(width, F.lit(0.0)) > 0) & (F.coalesce(base, F.lit(0.0)) != 0) & (F.coalesce(top, F.lit(0.0)) != 0)
+    ladder = F.when(~known, 0)
+    for n, b, t in ((6, 3, 3), (5, 3, 2), (4, 2, 2), (3, 2, 1), (2, 1, 1)):
+        ladder = ladder.when(times(b, t), n)
+    return ladder.when((width > base) & longer, 2).when(width > base, 1).otherwise(0).cast("int")
 
 
 def trapezoid(base: Column, top: Column, height: Column) -> Column:
     return (base + top) / 2 * height
 
 
-def plate_weight(length: Column, width: Column, thickness: Column) -> Column:
-    """Kilograms of a plate; null where a measure is missing, not positive or beyond what is made."""
-    fine = (length > 0) & (length <= 20_000) & (width > 0) & (width <= 3000) & (thickness > 0) & (thickness <= 50)
-    return F.when(fine, length * width * thickness * DENSITY)
+def piece_weight(count: Column, base: Column, top: Column, length: Column, thickness: Column) -> Column:
+    """Kilograms of so many pieces of a trapezoid's shape; 0 where a measure is missing, not positive or implausible."""
+    fine = (count > 0) & (base > 0) & (top > 0) & (length > 0) & (thickness >= 0.5) & (thickness <= 30) & (length <= 20_000) & (base <= 2000) & (top <= 2000)
+    return F.when(F.coalesce(fine, F.lit(False)), count * (trapezoid(base, top, length) * thickness * DENSITY)).otherwise(0.0)
+
+
+def first_positive(*columns: Column) -> Column:
+    return F.coalesce(*[F.when(c > 0, c) for c in columns])
+
+
+def direct_consumption(template: Column, sector: Column, phase: Column, label: str = "bobine_formato", phases: tuple[str, ...] = ("Bobine Formato",)) -> Column:
+    """Whether what a row used up and wasted can be told: by its template, or by a sector of such a phase whose own name says
+    so, which a label that only fell back to it doesn't."""
+    named = text.compact(sector)
+    return F.coalesce((F.trim(template) == label) | ((F.trim(sector) != "") & phase.isin(*phases) & (F.contains(named, F.lit("BOB")) | F.contains(named, F.lit("FORMATO")))), F.lit(False))
 
 
 def row_weights(rows: DataFrame) -> DataFrame:
-    """rows (comp, larg, esp as written, ref_ by reference, human_ by hand; qtd, scrap) with produced, consumed and
-    wasted kilograms; by hand goes before reference, reference before sheet."""
-    chosen = {c: F.coalesce(f"human_{c}", f"ref_{c}", c) for c in ("comp", "larg", "esp")}
-    one = plate_weight(*chosen.values())
-    return rows.withColumns({"unit_kg": F.round(one, 6), "produced_kg": F.round(one * F.col("qtd"), 6), "wasted_kg": F.round(one * F.coalesce("scrap", F.lit(0)), 6)}).withColumn("consumed_kg", F.round(F.col("produced_kg") + F.col("wasted_kg"), 6))
+    """rows with n_slices, consumed_kg, produced_kg, wasted_kg, wasted_pct, produced_source and consumption_source.
+
+    rows: qtd, comp, lbase, ltopo, esp, larg as written; plan_comp, plan_lbase, plan_ltopo, plan_esp, plan_unit_kg,
+    plan_pieces, in_plan of the plan's entry; lot_esp, lot_larg, in_lot of the coil's; direct; human, the fields written by
+    hand (array), which go before plan and lot; without it these go before the sheet.
+    """
+    refs = {"comp": ["plan_comp"], "lbase": ["plan_lbase"], "ltopo": ["plan_ltopo"], "esp": ["lot_esp", "plan_esp"], "larg": ["lot_larg"]}
+    named = {"comp": "comp_mm", "larg": "larg_mm"}
+    chosen = {f: F.when(F.array_contains("human", named.get(f, f)), first_positive(F.col(f), *map(F.col, r))).otherwise(first_positive(*map(F.col, r), F.col(f))) for f, r in refs.items()}
+    out = rows.withColumns({f"_{f}": c for f, c in chosen.items()})
+    comp, lbase, ltopo, esp, larg = (F.col(f"_{f}") for f in ("comp", "lbase", "ltopo", "esp", "larg"))
+    made = F.coalesce(F.col("qtd") > 0, F.lit(False))
+    geometry = piece_weight(F.col("qtd"), lbase, ltopo, comp, esp)
+    by_plan = F.col("qtd") * F.col("plan_unit_kg")
+    source = F.when(made & F.col("direct") & (geometry > 0), "geometry").when(made & (F.col("plan_unit_kg") > 0), "plan").when(made & (geometry > 0), "geometry")
+    pieces = F.coalesce(F.when(F.col("plan_pieces") >= 1, F.floor("plan_pieces").cast("int")), F.nullif(slices_of(larg, lbase, ltopo, comp, comp), F.lit(0)))
+    can = F.coalesce(made & F.col("direct") & (comp > 0) & (comp <= 20_000) & larg.between(200, 3000) & esp.between(0.5, 30) & (pieces > 0), F.lit(False))
+    out = out.withColumns({"produced_source": source, "n_slices": F.when(can, F.ceil(F.col("qtd") / pieces).cast("int"))})
+    out = out.withColumns({"produced_kg": F.when(F.col("produced_source") == "geometry", geometry).when(F.col("produced_source") == "plan", by_plan), "consumed_kg": F.col("n_slices") * larg * comp * esp * DENSITY})
+    out = out.withColumn("wasted_kg", F.greatest(F.lit(0.0), F.when(F.col("consumed_kg").isNotNull() & F.col("produced_kg").isNotNull(), F.col("consumed_kg") - F.col("produced_kg")))).withColumn("wasted_kg", F.when(F.col("produced_kg").isNotNull() & F.col("consumed_kg").isNotNull(), F.col("wasted_kg")))
+    found = F.coalesce(F.col("in_plan"), F.lit(False)) | F.coalesce(F.col("in_lot"), F.lit(False))
+    return out.withColumns({"wasted_pct": F.col("wasted_kg") / F.col("consumed_kg") * 100, "consumption_source": F.when(can, F.when(found, "plan_lot").otherwise("sheet"))}).drop(*[f"_{f}" for f in refs])
 
 
 # -- stops and areas ---------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import join_queries, kpi_queries, linkage_queries, ordered_queries, quality_queries, registry_queries, source_queries, work_queries  # noqa: F401
+from . import editing_queries, join_queries, kpi_queries, linkage_queries, ordered_queries, quality_queries, registry_queries, source_queries, work_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

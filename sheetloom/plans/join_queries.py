@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..operators import joins
 from .registry import query
-from .tables import EDIT, FACT, PLAN, SHEET, edits, facts, plan, read, sheets
+from .tables import EDIT, FACT, LIKE, PLAN, SHEET, edits, facts, plan, read, sheets
+
+
+BARE = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
 
 
 @query(
     "j11_lookup_chain",
-    """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS of, l_suppkey AS ov, CASE WHEN l_linenumber % 2 = 0 THEN 'Brand#' || (l_partkey % 25) ELSE 'x' END AS modelo, l_quantity AS larg, l_shipdate FROM lineitem WHERE l_returnflag = 'R'),
- rows_ AS (SELECT MIN(of) AS of, MIN(ov) AS ov, MIN(modelo) AS modelo, MIN(larg) AS larg, id AS row_id FROM r GROUP BY id),
- e AS (SELECT p_partkey AS entry_ord, p_partkey - p_partkey % 3 AS of, p_size AS ov, p_brand AS modelo, CAST(p_size AS DOUBLE) AS larg FROM part WHERE p_partkey % 2 = 0),
- a AS (SELECT row_id, entry_ord, 'of' AS via FROM rows_ r JOIN e USING (of) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY CAST(r.modelo = e.modelo AS INTEGER) DESC, abs(r.larg - e.larg), entry_ord) = 1),
- rest AS (SELECT * FROM rows_ WHERE row_id NOT IN (SELECT row_id FROM a)),
- b AS (SELECT row_id, arg_min(entry_ord, (abs(r.larg - e.larg), entry_ord)) AS entry_ord, 'ov' AS via FROM rest r JOIN e ON r.ov = e.ov AND r.modelo = e.modelo GROUP BY row_id HAVING COUNT(DISTINCT e.of) = 1)
- SELECT * FROM a UNION ALL SELECT * FROM b""",
+    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, lpad(CAST(MIN(l_partkey) AS VARCHAR), 6, '0') AS of, CAST(MIN(l_suppkey) % 50 + 1 AS VARCHAR) AS ov, MIN(CASE WHEN l_linenumber % 2 = 0 THEN 'Brand#' || (l_partkey % 5 + 1) ELSE 'x' END) AS modelo, 'c' || MIN(l_suppkey) % 3 AS cliente, MIN(l_quantity) * 40 AS comp, MIN(l_linenumber) * 10 AS lbase FROM lineitem GROUP BY 1),
+ e AS (SELECT p_partkey AS entry_ord, lpad(CAST(p_partkey - p_partkey % 3 AS VARCHAR), 6, '0') AS of, CAST(p_size AS VARCHAR) AS ov, p_brand || ' ' || p_type AS des, 'C' || p_size % 3 AS cliente, p_size * 40 AS comp, p_size AS lbase FROM part),
+ b AS (SELECT r.row_id, r.ov, r.modelo, e.entry_ord, e.of AS eof, {BARE.format("e.des")} AS edes, r.ov = e.ov AS same, contains({BARE.format("e.des")}, {BARE.format("r.modelo")}) OR contains({BARE.format("r.modelo")}, {BARE.format("e.des")}) AS model, upper(r.cliente) = e.cliente AS client, abs(r.comp - e.comp) AS dc, abs(r.lbase - e.lbase) AS dl, r.of = e.of AS direct FROM r JOIN e ON r.of = e.of OR r.ov = e.ov),
+ d AS (SELECT * FROM b WHERE direct QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY 8 * CAST(model AS INTEGER) + 4 * CAST(same AS INTEGER) + 2 * CAST(client AS INTEGER) + CAST(dc <= 50 AS INTEGER) + CAST(dl <= 30 AS INTEGER) DESC, dc + dl, entry_ord) = 1),
+ ok AS (SELECT row_id, entry_ord, 'of' AS via FROM d WHERE same OR model)
+ SELECT * FROM ok UNION ALL SELECT row_id, MIN(entry_ord), 'ov' FROM b WHERE same AND model AND row_id NOT IN (SELECT row_id FROM ok) GROUP BY row_id HAVING COUNT(DISTINCT (eof, edes)) = 1""",
 )
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").where("l_returnflag = 'R'")
-    modelo = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Brand#"), (F.col("l_partkey") % 25).cast("string"))).otherwise("x")
-    rows = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(F.min("l_partkey").alias("of"), F.min("l_suppkey").alias("ov"), F.min(modelo).alias("modelo"), F.min("l_quantity").alias("larg"))
-    p = read(spark, d, "part").where("p_partkey % 2 = 0")
-    entries = p.select(F.col("p_partkey").alias("entry_ord"), (F.col("p_partkey") - F.col("p_partkey") % 3).alias("of"), F.col("p_size").cast("bigint").alias("ov"), F.col("p_brand").alias("modelo"), F.col("p_size").cast("double").alias("larg"))
+    modelo = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Brand#"), (F.col("l_partkey") % 5 + 1).cast("string"))).otherwise("x")
+    none = F.lit(None).cast("double").alias("ltopo")
+    li = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(F.min("l_partkey").alias("of"), F.min("l_suppkey").alias("s"), F.min(modelo).alias("modelo"), F.min("l_quantity").alias("q"), F.min("l_linenumber").alias("n"))
+    rows = li.select("row_id", F.col("of").cast("string").alias("of"), (F.col("s") % 50 + 1).cast("string").alias("ov"), "modelo", F.concat(F.lit("c"), (F.col("s") % 3).cast("string")).alias("cliente"), (F.col("q") * 40).alias("comp"), (F.col("n") * 10).alias("lbase"), none)
+    p, size = read(spark, d, "part"), F.col("p_size")
+    entries = p.select(F.col("p_partkey").alias("entry_ord"), (F.col("p_partkey") - F.col("p_partkey") % 3).cast("string").alias("of"), size.cast("string").alias("ov"), F.concat_ws(" ", "p_brand", "p_type").alias("designacao"), F.concat(F.lit("C"), (size % 3).cast("string")).alias("cliente"), (size * 40).alias("comp"), size.alias("lbase"), none)
     return joins.lookup_chain(rows, entries)
 
 
@@ -43,7 +46,7 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "j13_unique_containing",
     """WITH l AS (SELECT DISTINCT p_name AS label FROM part), n AS (SELECT split_part(p_name, ' ', 1) AS name, MIN(p_size % 3) AS code FROM part GROUP BY 1 UNION SELECT split_part(p_name, ' ', 2), MAX(p_size % 3) FROM part GROUP BY 1)
- SELECT label, MIN(code) AS code FROM l JOIN n ON length(name) >= 3 AND contains(' ' || label || ' ', ' ' || name || ' ') GROUP BY label HAVING COUNT(DISTINCT code) = 1""",
+ SELECT label, MIN(code) AS code FROM l JOIN n ON (length(name) >= 3 AND contains(label, name)) OR (length(label) >= 3 AND contains(name, label)) GROUP BY label HAVING COUNT(DISTINCT code) = 1""",
 )
 def j13(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
@@ -64,19 +67,9 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j16_grid_join",
-    """SELECT c_custkey, p_partkey FROM customer JOIN part ON abs(floor(c_acctbal / 30) - floor(p_retailprice / 30)) <= 1 AND abs(floor(c_nationkey / 30) - floor(p_size / 30)) <= 1 WHERE c_custkey % 10 = 0""",
-)
-def j16(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", "c_acctbal", "c_nationkey")
-    return joins.grid_join(c, read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), [("c_acctbal", "p_retailprice"), ("c_nationkey", "p_size")], 30).select("c_custkey", "p_partkey")
-
-
-@query(
-    "j16_grid_join_whole",
     """SELECT c_custkey, p_partkey FROM customer JOIN part ON abs(floor(c_acctbal / 30) - floor(p_retailprice / 30)) <= 1 AND abs(floor(c_nationkey / 30) - floor(p_size / 30)) <= 1""",
 )
-def j16_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The grid join over all customers."""
+def j16(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     return joins.grid_join(c, read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), [("c_acctbal", "p_retailprice"), ("c_nationkey", "p_size")], 30).select("c_custkey", "p_partkey")
 
@@ -91,14 +84,10 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     return joins.token_join(left, read(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("_tokens")), "row_id", "item_id")
 
 
-LIKE = "CASE WHEN a = b THEN 100 WHEN contains(a, b) OR contains(b, a) THEN 80 WHEN GREATEST(length(a), length(b)) > 3 AND len(list_intersect(string_split(a, ''), string_split(b, ''))) = 0 THEN 0 ELSE CAST(floor(100.0 * (1 - levenshtein(a, b) / GREATEST(length(a), length(b)))) AS INTEGER) END"
-
-
 @query(
     "j18_top_like",
     f"""WITH a AS (SELECT DISTINCT p_name AS a FROM part), b AS (SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 2) AS b FROM part),
- p AS (SELECT a, b FROM a, b WHERE len(list_intersect([substr(a, i, 3) for i in range(1, length(a) - 1)], [substr(b, i, 3) for i in range(1, length(b) - 1)])) > 0),
- s AS (SELECT a, b, {LIKE} AS score FROM p) SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM s WHERE score >= 20 QUALIFY place <= 3""",
+ s AS (SELECT a, b, {LIKE.format(a="a", b="b")} AS score FROM a, b) SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM s WHERE score >= 20 QUALIFY place <= 3""",
 )
 def j18(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")

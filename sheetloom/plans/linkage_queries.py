@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linkage
+from ..functions import similarity
+from ..operators import joins, linkage
 from .registry import query
-from .tables import read
+from .tables import LIKE, read
 
 W = "CASE WHEN {c} / {n} >= {m} THEN 1.0::DOUBLE ELSE GREATEST(1.0::DOUBLE, LEAST(14.0::DOUBLE, log2({m} / ({c} / {n})))) END"
-SIM = "CASE WHEN {a} <> '' AND {b} <> '' THEN CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.8::DOUBLE WHEN GREATEST(length({a}), length({b})) > 3 AND len(list_intersect(string_split({a}, ''), string_split({b}, ''))) = 0 THEN 0.0::DOUBLE ELSE floor(100.0::DOUBLE * (1 - levenshtein({a}, {b}) / GREATEST(length({a}), length({b})))) / 100.0::DOUBLE END END"
+SIM = f"CASE WHEN {{a}} <> '' AND {{b}} <> '' THEN ({LIKE}) / 100.0 END"
 NUM = "COALESCE(CASE WHEN {s} >= 1 THEN {w} WHEN {s} >= 0.9 THEN 0.5 * {w} WHEN {s} >= 0.8 THEN 0.3 * {w} WHEN {s} <= 0.3 THEN {d} ELSE 0 END, 0)"
 NAME = "COALESCE(CASE WHEN {s} >= 1 THEN {w} WHEN {s} >= 0.55 THEN {s} * {w} WHEN {s} <= 0.3 THEN {d} ELSE 0 END, 0)"
 DIM = "COALESCE(LEAST(13.0::DOUBLE, -log2(GREATEST(nd / n, 0.116::DOUBLE))), 0)"
@@ -79,7 +80,7 @@ def l8(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("l12_cells", f"""{BASE}, b AS (SELECT row_id, of FROM ranked WHERE place = 1), c AS (SELECT row_id, r.of AS a, b.of AS x, {SIM.format(a="r.of", b="b.of")} AS s FROM r LEFT JOIN b USING (row_id))
- SELECT row_id, CASE WHEN x IS NULL AND a = '' THEN 'NA' WHEN x IS NULL THEN 'very_different' WHEN a = '' THEN 'snapped' WHEN a = x THEN 'confirmed' WHEN s < 0.6 THEN 'very_different' ELSE 'snapped' END AS status FROM c""")
+ SELECT row_id, CASE WHEN x IS NULL AND a = '' THEN 'NA' WHEN x IS NULL THEN 'very_different' WHEN a = '' THEN 'snapped' WHEN a = x THEN 'confirmed' WHEN s < 0.5 THEN 'very_different' ELSE 'snapped' END AS status FROM c""")
 def l12(spark: SparkSession, d: str) -> DataFrame:
     rows, plan, pool = tables(spark, d)
     best = linkage.winners(linkage.evidence(rows, plan, pool, ("comp",))).select("row_id", F.col("of").alias("proposed"))
@@ -94,12 +95,137 @@ def l1(spark: SparkSession, d: str) -> DataFrame:
     return linkage.hypotheses(rows, plan)
 
 
-@query("l21_match_score", f"WITH {PLAN}, {POOL} SELECT row_id, plan_ord, CASE WHEN r.of = p.of THEN 4 ELSE 0 END + CASE WHEN r.ov = p.ov THEN 2 ELSE 0 END + CASE WHEN r.cliente = p.cliente THEN 1 ELSE 0 END + CASE WHEN r.modelo = p.modelo THEN 3 ELSE 0 END AS score FROM pool JOIN r USING (row_id) JOIN p USING (plan_ord)")
+@query(
+    "w11_marginals",
+    f"""{BASE}, s AS (SELECT *, MAX(bits) OVER (PARTITION BY row_id) AS mx, MAX(CASE WHEN place = 1 THEN modelo END) OVER (PARTITION BY row_id) AS wm FROM ranked),
+ g AS (SELECT row_id, mx, SUM(pow(2.0, (bits - mx) / 2.5)) AS z, SUM(CASE WHEN modelo = wm THEN pow(2.0, (bits - mx) / 2.5) END) AS own, COUNT(*) AS k FROM s GROUP BY ALL), t AS (SELECT *, 0.059::DOUBLE / 0.941::DOUBLE * pow(2.0, (2.0 - mx) / 2.5) AS nul, GREATEST((SELECT COUNT(*) FROM p) - k, 0) * pow(2.0, (-8.0 - mx) / 2.5) AS rest FROM g)
+ SELECT row_id, ROUND(own / (z + nul + rest), 9) AS p_modelo FROM t""",
+)
+def w11(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.posterior(scored(spark, d), read(spark, d, "part").count()).select("row_id", "p_modelo")
+
+
+#: Rows as written, with measures; the order number with a letter O for each zero of every tenth, the thickness of every
+#: other without its comma.
+WRITTEN = """w AS (SELECT row_id, CASE WHEN row_id % 10 = 3 THEN replace(of, '0', 'O') ELSE of END AS of, ov, cliente, CASE WHEN row_id % 4 = 1 THEN upper(split_part(modelo, ' ', 1)) ELSE modelo END AS modelo,
+ p_retailprice + (row_id % 4) * 20 AS comp, p_size + (row_id % 3) * 6 AS larg, p_size + (row_id % 2) * 11 AS lbase, CASE WHEN row_id % 2 = 0 THEN p_size / 10.0 ELSE p_size END::DOUBLE AS esp FROM r JOIN part ON p_partkey = row_id),
+ q AS (SELECT p.* EXCLUDE (comp), p_retailprice AS comp, p_size AS larg, p_size AS lbase, (p_size / 10.0)::DOUBLE AS esp, p_size % 3 AS material FROM p JOIN part ON p_partkey = plan_ord)"""
+BARE = "regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g')"
+SCORE = f"""CAST(w.of <> '' AND (w.of = q.of OR (length(regexp_replace(w.of, '[^0O]', '', 'g')) <= 3 AND replace(w.of, 'O', '0') = replace(q.of, 'O', '0'))) AS INTEGER) + CAST(w.ov = q.ov AS INTEGER) + CAST({BARE.format("w.cliente")} = {BARE.format("q.cliente")} AS INTEGER)
+ + CAST(length(w.modelo) >= 4 AND (contains(upper(q.modelo), upper(w.modelo)) OR contains({BARE.format("q.modelo")}, {BARE.format("w.modelo")})) AS INTEGER)
+ + CAST(abs(w.comp - q.comp) <= 50 AS INTEGER) + CAST(abs(w.larg - q.larg) <= 10 AS INTEGER) + CAST(abs(w.lbase - q.lbase) <= 10 AS INTEGER)
+ + CAST(abs(w.esp - q.esp) <= 0.05 OR (w.esp >= 10 AND w.esp = floor(w.esp) AND w.esp / 10 BETWEEN 0.5 AND 15 AND abs(w.esp / 10 - q.esp) <= 0.05) AS INTEGER)"""
+
+
+def measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, plan, pool = tables(spark, d)
+    part = read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    k, size = F.col("row_id"), F.col("p_size")
+    w = rows.drop("comp").join(part, F.col("p_partkey") == k).select(
+        "row_id",
+        F.when(k % 10 == 3, F.translate("of", "0", "O")).otherwise(F.col("of")).alias("of"),
+        "ov",
+        "cliente",
+        F.when(k % 4 == 1, F.upper(F.get(F.split("modelo", " "), F.lit(0)))).otherwise(F.col("modelo")).alias("modelo"),
+        (F.col("p_retailprice") + k % 4 * 20).alias("comp"),
+        (size + k % 3 * 6).alias("larg"),
+        (size + k % 2 * 11).alias("lbase"),
+        F.when(k % 2 == 0, size / 10).otherwise(size).cast("double").alias("esp"),
+    )
+    q = plan.drop("comp").join(part, F.col("p_partkey") == F.col("plan_ord")).select("plan_ord", "of", "ov", "cliente", "modelo", F.col("p_retailprice").alias("comp"), size.alias("larg"), size.alias("lbase"), (size / 10).alias("esp"), (size % 3).cast("string").alias("material"))
+    return w, q, pool
+
+
+def agreeing(spark: SparkSession, d: str) -> DataFrame:
+    w, q, pool = measured(spark, d)
+    fields = ("of", "ov", "cliente", "modelo", "comp", "larg", "lbase")
+    r, e = ({f: F.col(f"{side}.{f}") for f in fields} for side in "wq")
+    r["esp"], e["esp"] = similarity.number_variants(F.col("w.esp")), F.col("q.esp")
+    return pool.join(w.alias("w"), "row_id").join(q.alias("q"), "plan_ord").select("row_id", "plan_ord", linkage.match_score(r, e).alias("score"))
+
+
+@query("l21_match_score", f"WITH {PLAN}, {POOL}, {WRITTEN} SELECT row_id, plan_ord, {SCORE} AS score FROM pool JOIN w USING (row_id) JOIN q USING (plan_ord)")
 def l21(spark: SparkSession, d: str) -> DataFrame:
+    return agreeing(spark, d)
+
+
+@query("l11_work_complete", f"WITH {PLAN}, {POOL}, {WRITTEN}, s AS (SELECT row_id, {SCORE} AS score, p_size % 5 >= 3 AS phase_full FROM pool JOIN w USING (row_id) JOIN q USING (plan_ord) JOIN part ON p_partkey = plan_ord) SELECT row_id, COALESCE(bool_and(phase_full) FILTER (score >= 1), FALSE) AS complete FROM s GROUP BY row_id")
+def l11(spark: SparkSession, d: str) -> DataFrame:
+    full = read(spark, d, "part").select(F.col("p_partkey").alias("plan_ord"), linkage.phase_full(F.lit(3.0), (F.col("p_size") % 5).cast("double")).alias("phase_full"))
+    return linkage.work_complete(agreeing(spark, d).join(full, "plan_ord"))
+
+
+DIGITS = "len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, i, 1) <> substr({1}, i, 1)))"
+
+
+@query(
+    "l22_halves_score",
+    f"""WITH {PLAN}, {POOL}, {WRITTEN}, s AS (SELECT row_id, CASE WHEN upper(w.cliente) = upper(q.cliente) THEN 1.0 WHEN len(list_intersect(list_filter(string_split(upper(w.cliente), ' '), lambda x: length(x) >= 3), list_filter(string_split(upper(q.cliente), ' '), lambda x: length(x) >= 3))) > 0 THEN 0.5 ELSE 0 END
+ + CASE WHEN w.ov = q.ov THEN 1.0 WHEN length(w.ov) = length(q.ov) AND {DIGITS.format("w.ov", "q.ov")} BETWEEN 1 AND 2 THEN 0.5 ELSE 0 END
+ + CASE WHEN length(w.modelo) >= 4 AND contains(upper(q.modelo), upper(w.modelo)) THEN 1.0 WHEN len(list_intersect(regexp_extract_all(upper(w.modelo), '[A-Z0-9]{{4,}}'), regexp_extract_all(upper(q.modelo), '[A-Z0-9]{{4,}}'))) > 0 THEN 0.5 ELSE 0 END
+ + CAST(abs(w.comp - q.comp) <= 100 AS INTEGER) + CAST(abs(w.lbase - q.lbase) <= 30 AS INTEGER) + CAST(abs(w.esp - q.esp) <= 0.05 AS INTEGER) + CAST(abs(w.larg - q.larg) <= 20 AS INTEGER) + CAST(w.row_id % 3 = q.material AS INTEGER) AS s FROM pool JOIN w USING (row_id) JOIN q USING (plan_ord))
+ SELECT row_id, MAX(s)::DOUBLE AS score FROM s GROUP BY row_id""",
+)
+def l22(spark: SparkSession, d: str) -> DataFrame:
+    w, q, pool = measured(spark, d)
+    fields = ("ov", "cliente", "modelo", "comp", "lbase", "esp", "larg")
+    r, e = ({f: F.col(f"{side}.{f}") for f in fields} for side in "wq")
+    r |= {"ltopo": F.lit(None).cast("double"), "material": (F.col("row_id") % 3).cast("string")}
+    e |= {"ltopo": F.lit(None).cast("double"), "material": F.col("q.material")}
+    j = pool.join(w.alias("w"), "row_id").join(q.alias("q"), "plan_ord")
+    return j.select("row_id", linkage.halves_score(r, e).alias("s")).groupBy("row_id").agg(F.max("s").alias("score"))
+
+
+@query(
+    "l17_declared_votes",
+    f"""WITH {PLAN}, {POOL}, n AS (SELECT GREATEST(COUNT(*), 1000)::DOUBLE AS n FROM p), c AS (SELECT upper(cliente) AS c, COUNT(*) AS k FROM p GROUP BY 1), v AS (SELECT comp, (SELECT COUNT(*) FROM p y WHERE abs(y.comp - x.comp) <= 1.0) AS k FROM (SELECT DISTINCT comp FROM r) x)
+ SELECT row_id, plan_ord, ROUND(LEAST(CASE WHEN upper(r.cliente) = upper(p.cliente) THEN GREATEST(0.0::DOUBLE, log2(0.8::DOUBLE / (c.k / n))) ELSE 0.0::DOUBLE END + CASE WHEN abs(r.comp - p.comp) <= 1.0 THEN GREATEST(0.0::DOUBLE, log2(0.6::DOUBLE / (v.k / n))) ELSE 0.0::DOUBLE END, 4.0::DOUBLE), 6) AS bonus
+ FROM pool JOIN r USING (row_id) JOIN p USING (plan_ord) CROSS JOIN n LEFT JOIN c ON c.c = upper(r.cliente) LEFT JOIN v ON v.comp = r.comp""",
+)
+def l17(spark: SparkSession, d: str) -> DataFrame:
     rows, plan, pool = tables(spark, d)
-    r, p = rows.alias("r"), plan.alias("p")
-    j = pool.join(r, "row_id").join(p, "plan_ord")
-    return j.select("row_id", "plan_ord", linkage.match_score({f: F.col(f"r.{f}") for f in linkage.IDENTITY}, {f: F.col(f"p.{f}") for f in linkage.IDENTITY}).alias("score"))
+    return linkage.declared_votes(pool, rows, plan, {"cliente": ("cliente", None, 0.8), "comp": ("comp", 1.0, 0.6)})
+
+
+@query(
+    "l2_texts_like",
+    f"""WITH v AS (SELECT DISTINCT 'cliente' AS field, CASE WHEN p_partkey % 3 = 0 THEN replace(p_type, 'E', '') ELSE p_type END AS written FROM part UNION SELECT DISTINCT 'ov', CAST(p_size AS VARCHAR) || '7' FROM part),
+ k AS (SELECT DISTINCT 'cliente' AS field, p_type AS known FROM part UNION SELECT DISTINCT 'ov', CAST(p_size * 11 AS VARCHAR) FROM part), s AS (SELECT field, written, known, {LIKE.format(a="written", b="known")} AS score FROM v JOIN k USING (field))
+ SELECT field, written, known, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY field, written ORDER BY score DESC, known) <= 10""",
+)
+def l2_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The ten known values most like each written one, field by field."""
+    p = read(spark, d, "part")
+    written = {"cliente": F.when(F.col("p_partkey") % 3 == 0, F.replace("p_type", F.lit("E"), F.lit(""))).otherwise(F.col("p_type")), "ov": F.concat(F.col("p_size").cast("string"), F.lit("7"))}
+    known = {"cliente": F.col("p_type"), "ov": (F.col("p_size") * 11).cast("string")}
+    out = [joins.top_like(p.select(written[f].alias("written")), p.select(known[f].alias("known")), "written", "known", similarity.likeness).select(F.lit(f).alias("field"), "written", "known", "score") for f in known]
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "l2_measures_near",
+    """WITH v AS (SELECT DISTINCT 'comp' AS field, round(p_retailprice) + 3 AS written, 50.0::DOUBLE AS t FROM part UNION SELECT DISTINCT 'esp', p_size / 4.0, 0.05 FROM part), k AS (SELECT DISTINCT 'comp' AS field, p_retailprice AS known FROM part UNION SELECT DISTINCT 'esp', p_size / 3 FROM part)
+ SELECT field, written::DOUBLE AS written, known, ROUND(CASE WHEN abs(written - known) <= t THEN 1.0 ELSE GREATEST(0.0, 1 - (abs(written - known) - t) / GREATEST(t, 1.0)) END * 100, 6) AS score FROM v JOIN k USING (field) QUALIFY row_number() OVER (PARTITION BY field, written ORDER BY abs(written - known), known) <= 10""",
+)
+def l2_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The ten known measures nearest to each written one, field by field."""
+    p = read(spark, d, "part")
+    a = joins.nearest_values(p.select((F.round("p_retailprice") + 3).alias("written")), p.select(F.col("p_retailprice").alias("known")), "written", "known", 50.0)
+    b = joins.nearest_values(p.select((F.col("p_size") / 4).alias("written")), p.select((F.col("p_size") / 3).alias("known")), "written", "known", 0.05)
+    return a.select(F.lit("comp").alias("field"), "written", "known", "score").unionByName(b.select(F.lit("esp").alias("field"), "written", "known", "score"))
+
+
+@query(
+    "l2_misread_orders",
+    f"""WITH {PLAN}, m AS (SELECT row_id, replace(of, '1', '7') AS of FROM r WHERE of <> '' AND of LIKE '%1%9%'), s AS (SELECT a.of, b.of AS known, {LIKE.format(a="a.of", b="b.of")} AS score FROM (SELECT DISTINCT of FROM m) a, (SELECT DISTINCT of FROM p) b),
+ t AS (SELECT of, known FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY of ORDER BY score DESC, known) <= 10) SELECT DISTINCT row_id, plan_ord FROM m JOIN t USING (of) JOIN p ON p.of = t.known""",
+)
+def l2_misread(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of rows whose order number was misread, by the ten known numbers most like it."""
+    rows, plan, _ = tables(spark, d)
+    m = rows.where("of like '%1%9%'").select("row_id", F.replace("of", F.lit("1"), F.lit("7")).alias("of"), "ov", "modelo")
+    near = joins.top_like(m.select(F.col("of").alias("written")), plan.select(F.col("of").alias("known")), "written", "known", similarity.likeness)
+    return linkage.candidates(m, plan, [], {"of": near})
 
 
 @query("j26_identity", "WITH r AS (SELECT c_custkey AS row_id, c_custkey % 120 AS code, CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0') ELSE 'nobody' END AS name FROM customer) SELECT row_id, CASE WHEN s.s_name = name THEN s.s_suppkey WHEN u.s_suppkey IS NOT NULL THEN u.s_suppkey END AS code, CASE WHEN s.s_name = name THEN 'code_name' WHEN u.s_suppkey IS NOT NULL THEN 'name' ELSE 'no_ref' END AS how, FALSE AS suspended FROM r LEFT JOIN supplier s ON s.s_suppkey = code LEFT JOIN supplier u ON u.s_name = name")

@@ -37,7 +37,7 @@ ALIASES = "alias AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS alias, upper(
 @query(
     "z9_templates",
     f"""WITH {ALIASES}, s AS (SELECT p_partkey AS sheet_id, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' x' WHEN p_partkey % 5 = 1 THEN 'none' ELSE p_name END AS label, CASE WHEN p_partkey % 7 = 0 THEN 'kept' END AS stored, p_partkey % 11 = 0 AS scrap FROM part),
- e AS (SELECT alias AS label, MIN(template) AS t FROM alias GROUP BY 1), l AS (SELECT label, arg_max(template, (length(alias), alias)) AS t FROM (SELECT DISTINCT label FROM s) x JOIN alias ON contains(label, alias) AND list_contains(string_split(label, ' '), split_part(alias, ' ', 1)) GROUP BY label)
+ e AS (SELECT alias AS label, MIN(template) AS t FROM alias GROUP BY 1), l AS (SELECT label, arg_max(template, (length(alias), alias)) AS t FROM (SELECT DISTINCT label FROM s) x JOIN alias ON contains(label, alias) AND length(alias) >= 3 GROUP BY label)
  SELECT sheet_id, CASE WHEN stored IS NOT NULL THEN stored WHEN scrap THEN 'scrap' ELSE COALESCE(e.t, l.t, 'base') END AS template, CASE WHEN stored IS NOT NULL THEN 'stored' WHEN scrap THEN 'scrap' WHEN e.t IS NOT NULL THEN 'alias' WHEN l.t IS NOT NULL THEN 'contained' ELSE 'default' END AS why FROM s LEFT JOIN e USING (label) LEFT JOIN l USING (label)""",
 )
 def z9(spark: SparkSession, d: str) -> DataFrame:
@@ -63,17 +63,19 @@ def z16(spark: SparkSession, d: str) -> DataFrame:
     return ops.first_seen(e.select(F.concat("event_type", F.col("user_id").cast("string")).alias("sha"), F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime")))
 
 
-@query("z24_alias_conflicts", "WITH a AS (SELECT DISTINCT p_name AS candidate FROM part WHERE p_size < 25), b AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS alias FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size > 40) SELECT candidate, alias, CASE WHEN candidate = alias THEN 'exact' ELSE 'contains' END AS kind FROM a JOIN b ON (contains(candidate, alias) OR contains(alias, candidate)) AND len(list_intersect(string_split(candidate, ' '), string_split(alias, ' '))) > 0")
+@query("z24_alias_conflicts", "WITH a AS (SELECT DISTINCT p_name AS candidate FROM part), b AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS alias FROM part UNION SELECT DISTINCT p_name FROM part) SELECT candidate, alias, CASE WHEN candidate = alias THEN 'exact' ELSE 'contains' END AS kind FROM a JOIN b ON contains(candidate, alias) OR contains(alias, candidate)")
 def z24(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
-    b = p.select(F.get(F.split("p_name", " "), F.lit(0)).alias("alias")).union(p.where("p_size > 40").select("p_name")).distinct()
-    return ops.alias_conflicts(p.where("p_size < 25").select(F.col("p_name").alias("candidate")).distinct(), b)
+    b = p.select(F.get(F.split("p_name", " "), F.lit(0)).alias("alias")).union(p.select("p_name")).distinct()
+    return ops.alias_conflicts(p.select(F.col("p_name").alias("candidate")).distinct(), b)
 
 
-@query("z26_review_queue", f"WITH {FACT}, c AS (SELECT sheet_id, row_index || '.' || of || '.' || suppkey || '.' || qtd || '.' || price AS path, CASE WHEN qtd % 5 <> 0 THEN qtd / 50 END AS confidence, 1.0 + row_index % 3 AS weight FROM fact) SELECT sheet_id, path, ROUND(CAST(weight * (1 - COALESCE(confidence, 0.5)) AS DOUBLE), 6) AS priority FROM c WHERE confidence IS NULL OR confidence BETWEEN 0.35 AND 0.75 QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY priority DESC, path) <= 3")
+@query("z26_review_queue", f"WITH {FACT}, c AS (SELECT sheet_id, row_index || '.' || of || '.' || suppkey || '.' || qtd || '.' || price AS path, CASE WHEN qtd % 5 <> 0 THEN qtd / 50 END AS confidence, 1.0 + row_index % 3 AS weight, CAST(qtd AS VARCHAR) AS written, CASE WHEN qtd % 3 = 0 THEN CAST(qtd AS VARCHAR) WHEN qtd % 7 <> 0 THEN 'x' ELSE '' END AS proposed FROM fact) SELECT sheet_id, path, ROUND(CAST(weight * (1 - confidence) AS DOUBLE), 6) AS priority FROM c WHERE confidence >= 0.35 AND confidence < 0.75 AND proposed <> '' AND written <> proposed QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY priority DESC, path) <= 3")
 def z26(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat_ws(".", *[F.col(c).cast("string") for c in ("row_index", "of", "suppkey", "qtd", "price")])
-    c = facts(spark, d).select("sheet_id", path.alias("path"), F.when(F.col("qtd") % 5 != 0, F.col("qtd") / 50).alias("confidence"), (1.0 + F.col("row_index") % 3).alias("weight"))
+    qtd = F.col("qtd")
+    proposed = F.when(qtd % 3 == 0, qtd.cast("string")).when(qtd % 7 != 0, "x").otherwise("")
+    c = facts(spark, d).select("sheet_id", path.alias("path"), F.when(qtd % 5 != 0, qtd / 50).alias("confidence"), (1.0 + F.col("row_index") % 3).alias("weight"), qtd.cast("string").alias("written"), proposed.alias("proposed"))
     return ops.review_queue(c).select("sheet_id", "path", "priority")
 
 
@@ -171,15 +173,8 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").orderBy(F.lower("p_type"), "p_partkey").limit(40).select("p_partkey", "p_name")
 
 
-@query("u6_ordered_union", f"WITH {FACT} SELECT sheet_id, string_agg(segmento, ',' ORDER BY f) AS parts FROM (SELECT sheet_id, operador AS segmento, MIN((row_index, of, suppkey, qtd)) AS f FROM fact WHERE of % 3 = 0 GROUP BY ALL) GROUP BY sheet_id")
+@query("u6_ordered_union", f"WITH {FACT} SELECT sheet_id, string_agg(segmento, ',' ORDER BY f) AS parts FROM (SELECT sheet_id, operador AS segmento, MIN((row_index, of, suppkey, qtd)) AS f FROM fact GROUP BY ALL) GROUP BY sheet_id")
 def u6(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct values in the order of their first occurrence."""
-    f = facts(spark, d).where("of % 3 = 0").groupBy("sheet_id", "operador").agg(F.min(F.struct("row_index", "of", "suppkey", "qtd")).alias("f"))
-    return f.groupBy("sheet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "operador"))), lambda x: x["operador"]), ",").alias("parts"))
-
-
-@query("u6_ordered_union_whole", f"WITH {FACT} SELECT sheet_id, string_agg(segmento, ',' ORDER BY f) AS parts FROM (SELECT sheet_id, operador AS segmento, MIN((row_index, of, suppkey, qtd)) AS f FROM fact GROUP BY ALL) GROUP BY sheet_id")
-def u6_whole(spark: SparkSession, d: str) -> DataFrame:
     """The same over all facts."""
     f = facts(spark, d).groupBy("sheet_id", "operador").agg(F.min(F.struct("row_index", "of", "suppkey", "qtd")).alias("f"))
     return f.groupBy("sheet_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "operador"))), lambda x: x["operador"]), ",").alias("parts"))
@@ -227,17 +222,8 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return edits(spark, d).where("id > 100 and id <= 5000").join(sheets(spark, d), "sheet_id").groupBy("setor").agg(F.count("*").alias("n"))
 
 
-@query("j10_windowed_counts", f"WITH {SHEET}, {EDIT}, n AS (SELECT sheet_id, COUNT(*) AS c FROM edit WHERE source = 'human' GROUP BY 1), s AS (SELECT sheet_id, row_number() OVER (ORDER BY sheet_id DESC) AS p FROM sheet WHERE sheet_id < 120) SELECT ROUND(AVG(COALESCE(c, 0)) FILTER (p <= 20), 6) AS recent, ROUND(AVG(COALESCE(c, 0)) FILTER (p > 20 AND p <= 120), 6) AS before FROM s LEFT JOIN n USING (sheet_id)")
+@query("j10_windowed_counts", f"WITH {SHEET}, {EDIT}, n AS (SELECT sheet_id, COUNT(*) AS c FROM edit WHERE source = 'human' GROUP BY 1), s AS (SELECT sheet_id, row_number() OVER (ORDER BY sheet_id DESC) AS p FROM sheet) SELECT ROUND(AVG(COALESCE(c, 0)) FILTER (p <= 20), 6) AS recent, ROUND(AVG(COALESCE(c, 0)) FILTER (p > 20 AND p <= 120), 6) AS before FROM s LEFT JOIN n USING (sheet_id)")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import ordered
-
-    n = edits(spark, d).where("source = 'human'").groupBy("sheet_id").agg(F.count("*").cast("double").alias("c"))
-    s = sheets(spark, d).where("sheet_id < 120").join(n, "sheet_id", "left").na.fill(0.0, ["c"])
-    return ordered.recent_against_before(s, F.desc("sheet_id"), "c")
-
-
-@query("j10_windowed_counts_whole", f"WITH {SHEET}, {EDIT}, n AS (SELECT sheet_id, COUNT(*) AS c FROM edit WHERE source = 'human' GROUP BY 1), s AS (SELECT sheet_id, row_number() OVER (ORDER BY sheet_id DESC) AS p FROM sheet) SELECT ROUND(AVG(COALESCE(c, 0)) FILTER (p <= 20), 6) AS recent, ROUND(AVG(COALESCE(c, 0)) FILTER (p > 20 AND p <= 120), 6) AS before FROM s LEFT JOIN n USING (sheet_id)")
-def j10_whole(spark: SparkSession, d: str) -> DataFrame:
     """The newest of all sheets against those before them."""
     from ..operators import ordered
 

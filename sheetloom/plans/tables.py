@@ -91,3 +91,5 @@ PLAN = """plan AS (SELECT p_partkey AS plan_ord, p_partkey AS of, p_brand || ' '
 EDIT = """edit AS (SELECT event_id AS id, user_id AS sheet_id, 'rows[' || (k % 5) || '].' || (['of', 'cliente', 'modelo', 'qtd'])[k % 4 + 1] AS field_path, CAST(k AS VARCHAR) AS new_value,
  CAST(k % 10 AS VARCHAR) AS old_value, ts AS edited_at, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'human' WHEN event_type = 'purchase' THEN 'system' ELSE 'wizard' END AS source, value
  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
+#: Likeness by its definition: case aside; equal, one within the other, nothing in common, lengths too far apart, edits.
+LIKE = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE WHEN upper({a}) = upper({b}) THEN 100.0::DOUBLE WHEN contains(upper({a}), upper({b})) OR contains(upper({b}), upper({a})) THEN 80.0::DOUBLE WHEN (length({a}) > 3 AND length({b}) > 3 AND len(list_intersect(string_split(upper({a}), ''), string_split(upper({b}), ''))) = 0) OR abs(length({a}) - length({b})) > 5 THEN 0.0::DOUBLE WHEN levenshtein(upper({a}), upper({b})) >= GREATEST(length({a}), length({b})) THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * (1 - levenshtein(upper({a}), upper({b})) / GREATEST(length({a}), length({b}))) END"

@@ -100,29 +100,40 @@ def a23(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m5_row_weights",
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, COALESCE(CASE WHEN l_linenumber % 4 = 0 THEN 2500.0 END, CASE WHEN p_size % 2 = 0 THEN p_size * 100.0 END, l_quantity * 100) AS comp, COALESCE(CASE WHEN p_size % 3 = 0 THEN p_size * 20.0 END, 1000.0) AS larg, 2.5 AS esp, l_linenumber % 2 AS scrap FROM lineitem JOIN part ON p_partkey = l_partkey),
- w AS (SELECT *, CASE WHEN comp > 0 AND comp <= 20000 AND larg > 0 AND larg <= 3000 THEN comp * larg * esp * 7.85e-6 END AS kg FROM r)
- SELECT l_partkey AS of, CAST(SUM(CAST(ROUND(ROUND(kg * l_quantity, 6) * 1000) AS BIGINT)) AS BIGINT) AS produced_g, CAST(SUM(CAST(ROUND(ROUND(kg * scrap, 6) * 1000) AS BIGINT)) AS BIGINT) AS wasted_g, COUNT(kg) AS n FROM w GROUP BY l_partkey""",
+    """WITH r AS (SELECT l_partkey AS of, l_quantity AS qtd, l_linenumber % 2 = 0 AS direct, CASE WHEN l_linenumber % 4 = 0 OR p_size % 2 <> 0 THEN l_quantity * 100 ELSE p_size * 100.0::DOUBLE END AS comp, 100.0::DOUBLE + l_linenumber * 10 AS lb, 90.0::DOUBLE + l_linenumber * 10 AS lt, p_size / 4 AS esp, CASE WHEN p_size % 3 = 0 THEN p_size * 20.0::DOUBLE ELSE 1000.0::DOUBLE END AS larg,
+ CASE WHEN p_size % 5 = 0 THEN p_size / 10 END AS unit, CASE WHEN p_size % 7 = 0 THEN 2 END AS pieces, p_size % 2 = 0 OR p_size % 3 = 0 AS found FROM lineitem JOIN part ON p_partkey = l_partkey),
+ g AS (SELECT *, CASE WHEN qtd > 0 AND esp >= 0.5 AND esp <= 30 AND comp > 0 AND comp <= 20000 THEN qtd * ((lb + lt) / 2 * comp * esp * 7.85e-6::DOUBLE) ELSE 0 END AS geo, COALESCE(pieces, CASE WHEN larg > lb * 3 + lt * 3 THEN 6 WHEN larg > lb * 3 + lt * 2 THEN 5 WHEN larg > lb * 2 + lt * 2 THEN 4 WHEN larg > lb * 2 + lt THEN 3 WHEN larg > lb + lt THEN 2 WHEN larg > lb THEN 1 END) AS n FROM r),
+ h AS (SELECT *, CASE WHEN direct AND geo > 0 THEN geo WHEN unit > 0 THEN qtd * unit WHEN geo > 0 THEN geo END AS produced, CASE WHEN direct AND comp > 0 AND comp <= 20000 AND larg BETWEEN 200 AND 3000 AND esp BETWEEN 0.5 AND 30 AND n > 0 THEN CAST(ceil(qtd / n) AS INTEGER) END AS slices FROM g),
+ w AS (SELECT *, slices * larg * comp * esp * 7.85e-6::DOUBLE AS consumed FROM h)
+ SELECT of, CAST(SUM(slices) AS BIGINT) AS n_slices, CAST(SUM(CAST(ROUND(produced * 1000) AS BIGINT)) AS BIGINT) AS produced_g, CAST(SUM(CAST(ROUND(consumed * 1000) AS BIGINT)) AS BIGINT) AS consumed_g, CAST(SUM(CAST(ROUND(GREATEST(0, consumed - produced) * 1000) AS BIGINT)) FILTER (consumed IS NOT NULL AND produced IS NOT NULL) AS BIGINT) AS wasted_g,
+ COUNT(*) FILTER (produced IS NOT NULL AND NOT (direct AND geo > 0) AND unit > 0) AS n_by_plan, COUNT(*) FILTER (slices IS NOT NULL AND found) AS n_found FROM w GROUP BY of""",
 )
 def m5(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    none = F.lit(None).cast("double")
-    size = F.col("p_size")
+    none, size, line = F.lit(None).cast("double"), F.col("p_size"), F.col("l_linenumber")
     rows = li.select(
         F.col("l_partkey").alias("of"),
         F.col("l_quantity").alias("qtd"),
-        (F.col("l_linenumber") % 2).alias("scrap"),
         (F.col("l_quantity") * 100).alias("comp"),
-        F.lit(1000.0).alias("larg"),
+        (100.0 + line * 10).alias("lbase"),
+        (90.0 + line * 10).alias("ltopo"),
         F.lit(2.5).alias("esp"),
-        F.when(size % 2 == 0, size * 100.0).alias("ref_comp"),
-        F.when(size % 3 == 0, size * 20.0).alias("ref_larg"),
-        none.alias("ref_esp"),
-        F.when(F.col("l_linenumber") % 4 == 0, 2500.0).alias("human_comp"),
-        none.alias("human_larg"),
-        none.alias("human_esp"),
+        F.lit(1000.0).alias("larg"),
+        F.when(size % 2 == 0, size * 100.0).alias("plan_comp"),
+        none.alias("plan_lbase"),
+        none.alias("plan_ltopo"),
+        (size / 4).alias("plan_esp"),
+        F.when(size % 5 == 0, size / 10).alias("plan_unit_kg"),
+        F.when(size % 7 == 0, 2.0).alias("plan_pieces"),
+        (size % 2 == 0).alias("in_plan"),
+        none.alias("lot_esp"),
+        F.when(size % 3 == 0, size * 20.0).alias("lot_larg"),
+        (size % 3 == 0).alias("in_lot"),
+        (line % 2 == 0).alias("direct"),
+        F.when(line % 4 == 0, F.array(F.lit("comp_mm"))).otherwise(F.array().cast("array<string>")).alias("human"),
     )
-    return workorders.row_weights(rows).groupBy("of").agg(F.sum(F.round(F.col("produced_kg") * 1000).cast("bigint")).alias("produced_g"), F.sum(F.round(F.col("wasted_kg") * 1000).cast("bigint")).alias("wasted_g"), F.count("unit_kg").alias("n"))
+    grams = lambda c: F.sum(F.round(F.col(c) * 1000).cast("bigint")).alias(c.replace("_kg", "_g"))
+    return workorders.row_weights(rows).groupBy("of").agg(F.sum("n_slices").alias("n_slices"), grams("produced_kg"), grams("consumed_kg"), grams("wasted_kg"), F.count_if(F.col("produced_source") == "plan").alias("n_by_plan"), F.count_if(F.col("consumption_source") == "plan_lot").alias("n_found"))
 
 
 @query(
@@ -184,15 +195,8 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("section", "field").agg(F.count("*").alias("n"), F.count_if(F.trim("value") != "").alias("filled"))
 
 
-@query("r4_replay", f"WITH {EDIT}, base AS (SELECT DISTINCT sheet_id, field_path AS path, '-' AS value FROM edit WHERE sheet_id < 100), n AS (SELECT sheet_id, field_path AS path, arg_max(new_value, id) AS v FROM edit WHERE source IN ('human', 'wizard') GROUP BY ALL) SELECT sheet_id, path, COALESCE(v, value) AS value FROM base LEFT JOIN n USING (sheet_id, path)")
+@query("r4_replay", f"WITH {EDIT}, base AS (SELECT DISTINCT sheet_id, field_path AS path, '-' AS value FROM edit), n AS (SELECT sheet_id, field_path AS path, arg_max(new_value, id) AS v FROM edit WHERE source IN ('human', 'wizard') GROUP BY ALL) SELECT sheet_id, path, COALESCE(v, value) AS value FROM base LEFT JOIN n USING (sheet_id, path)")
 def r4(spark: SparkSession, d: str) -> DataFrame:
-    e = edits(spark, d).withColumnRenamed("field_path", "path")
-    base = e.where("sheet_id < 100").select("sheet_id", "path", F.lit("-").alias("value")).distinct()
-    return documents.replayed(base, e)
-
-
-@query("r4_replay_whole", f"WITH {EDIT}, base AS (SELECT DISTINCT sheet_id, field_path AS path, '-' AS value FROM edit), n AS (SELECT sheet_id, field_path AS path, arg_max(new_value, id) AS v FROM edit WHERE source IN ('human', 'wizard') GROUP BY ALL) SELECT sheet_id, path, COALESCE(v, value) AS value FROM base LEFT JOIN n USING (sheet_id, path)")
-def r4_whole(spark: SparkSession, d: str) -> DataFrame:
     """The edits of all sheets replayed."""
     e = edits(spark, d).withColumnRenamed("field_path", "path")
     return documents.replayed(e.select("sheet_id", "path", F.lit("-").alias("value")).distinct(), e)
