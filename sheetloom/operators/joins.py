@@ -142,18 +142,17 @@ def cascade(written: DataFrame, known: DataFrame, key: str, value: str, score, f
     """(key, value, tier): each distinct written value's known one: the equal one (exact), the only one that holds it or that
     it holds (unique), the only one an edit away (edit), else the most like from a floor on (like)."""
     a, b = written.select(key).distinct().where(F.col(key) != ""), known.select(value).distinct().where(F.col(value) != "")
-    exact = a.join(b, F.upper(key) == F.upper(value)).groupBy(key).agg(F.min(value).alias(value)).withColumn("tier", F.lit("exact"))
-    one = lambda pairs, name: pairs.distinct().groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias(value)).where("n = 1").select(key, value, F.lit(name).alias("tier"))
-    rest = a.join(exact.select(key), key, "left_anti")
-    unique = one(within(rest, key, b, value, 3).select(key, value).unionByName(within(b, value, rest, key, 3).select(key, value)), "unique")
-    rest = rest.join(unique.select(key), key, "left_anti")
+    tier = lambda df, n, name: df.select(key, F.struct(F.lit(n).alias("n"), value, F.lit(name).alias("tier")).alias("t"))
+    one = lambda pairs: pairs.distinct().groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias(value)).where("n = 1")
+    exact = a.join(b, F.upper(key) == F.upper(value)).groupBy(key).agg(F.min(value).alias(value))
+    unique = one(within(a, key, b, value, 3).select(key, value).unionByName(within(b, value, a, key, 3).select(key, value)))
     # an edit apart: alike but for one character left out of either
     less = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
-    met = rest.withColumn("_l", F.explode(less(F.col(key)))).join(b.withColumn("_l", F.explode(less(F.col(value)))), "_l").where(F.levenshtein(key, value) == 1)
-    edit = one(met.select(key, value), "edit")
-    rest = rest.join(edit.select(key), key, "left_anti")
-    like = top_like(rest, b, key, value, score, 1, floor).select(key, value, F.lit("like").alias("tier"))
-    return exact.unionByName(unique).unionByName(edit).unionByName(like)
+    met = a.withColumn("_l", F.explode(less(F.col(key)))).join(b.withColumn("_l", F.explode(less(F.col(value)))), "_l").where(F.levenshtein(key, value) == 1)
+    edit = one(met.select(key, value))
+    found = tier(exact, 0, "exact").unionByName(tier(unique, 1, "unique")).unionByName(tier(edit, 2, "edit")).groupBy(key).agg(F.min("t").alias("t")).select(key, f"t.{value}", "t.tier")
+    rest = a.join(found.select(key), key, "left_anti")
+    return found.unionByName(top_like(rest, b, key, value, score, 1, floor).select(key, value, F.lit("like").alias("tier")))
 
 
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], padded: bool = False) -> DataFrame:

@@ -39,6 +39,11 @@ def order_status(lines: DataFrame, key: str, most: int = 5) -> DataFrame:
     return out.withColumn("pct", done)
 
 
+def order_detail(status: DataFrame, key: str, value: object) -> DataFrame:
+    """One order's status; nothing if there is no such order."""
+    return status.where(F.col(key) == value)
+
+
 def client_status(orders: DataFrame, key: str) -> DataFrame:
     return orders.groupBy(key).agg(F.count("*").alias("n_orders"), F.sum("planned").alias("planned"), F.sum("produced").alias("produced"), F.sum("remaining").alias("remaining"), F.sum("n_open").alias("n_open"))
 

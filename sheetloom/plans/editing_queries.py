@@ -71,7 +71,7 @@ def with_rows(spark: SparkSession, d: str) -> DataFrame:
     return sheets(spark, d).join(held.select("sheet_id", rows.alias("rows")), "sheet_id").select("sheet_id", "status", "rows", (F.col("custkey") % 4).alias("at"))
 
 
-@query("z11_row_removed", f"WITH {SHEET}, {ROWS}, s AS (SELECT sheet_id, status, custkey % 4 AS pos, n FROM sheet JOIN n USING (sheet_id)), o AS (SELECT *, CASE WHEN status = 'validated' THEN 'validated' WHEN pos >= n THEN 'out_of_range' ELSE 'removed' END AS outcome FROM s) SELECT sheet_id, outcome, CASE WHEN outcome = 'removed' THEN cell END AS removed, n - CAST(outcome = 'removed' AS INTEGER) AS n_rows FROM o LEFT JOIN line ON line.sheet_id = o.sheet_id AND i = pos")
+@query("z11_row_removed", f"WITH {SHEET}, {ROWS}, s AS (SELECT sheet_id, status, custkey % 4 AS pos, n FROM sheet JOIN n USING (sheet_id)), o AS (SELECT *, CASE WHEN status = 'validated' THEN 'validated' WHEN pos >= n THEN 'out_of_range' ELSE 'removed' END AS outcome FROM s) SELECT o.sheet_id, outcome, CASE WHEN outcome = 'removed' THEN cell END AS removed, n - CAST(outcome = 'removed' AS INTEGER) AS n_rows FROM o LEFT JOIN line ON line.sheet_id = o.sheet_id AND i = pos")
 def z11_removed(spark: SparkSession, d: str) -> DataFrame:
     return editing.row_removed(with_rows(spark, d), "at").select("sheet_id", "outcome", "removed", F.size("rows").alias("n_rows"))
 
