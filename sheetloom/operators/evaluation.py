@@ -108,6 +108,11 @@ def shadow_diff(production: DataFrame, shadow: DataFrame) -> DataFrame:
     return out.where("value != '' or shadow_value != ''")
 
 
+def shadowed(rows: DataFrame, production, shadow) -> DataFrame:
+    """The same rows decided by two functions, held against each other; both give the cells that shadow_diff takes."""
+    return shadow_diff(production(rows), shadow(rows))
+
+
 def agreement(diff: DataFrame) -> DataFrame:
     """(kind, what, n, share): all cells, those that differ by field, and flips of status by what to what."""
     what = F.when(F.col("kind") == "diff", F.col("field")).when(F.col("kind") == "flip", F.concat_ws(">", "before", "after")).otherwise("")

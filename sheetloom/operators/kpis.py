@@ -13,13 +13,10 @@ def filled(c: str) -> Column:
     return F.when(F.trim(c) != "", F.col(c))
 
 
-def hours_by(fact: DataFrame, *keys: str) -> DataFrame:
-    """Hours of each group's sheets, each sheet once."""
-    return fact.select(*keys, "sheet_id", "hours").distinct().groupBy(*keys).agg(F.sum("hours").alias("hours"))
-
-
-def with_hours(grouped: DataFrame, fact: DataFrame, *keys: str) -> DataFrame:
-    return grouped.join(hours_by(fact, *keys), list(keys), "left")
+def by_sheet(fact: DataFrame, *keys: str) -> DataFrame:
+    """Of each group and sheet: pieces, rows and the sheet's hours. What counts a sheet once is made of these rows, so that the
+    facts are read and joined once."""
+    return fact.groupBy(*keys, "sheet_id").agg(F.sum("qtd").alias("qty"), F.count("*").alias("n_rows"), F.max("hours").alias("hours"))
 
 
 def day_summary(fact: DataFrame, day: str) -> DataFrame:
@@ -33,9 +30,8 @@ def day_summary(fact: DataFrame, day: str) -> DataFrame:
 
 
 def totals_by(fact: DataFrame, *keys: str) -> DataFrame:
-    """qty, sheets, rows and hours of each group."""
-    grouped = fact.groupBy(*keys).agg(F.sum("qtd").alias("qty"), F.count_distinct("sheet_id").alias("n_sheets"), F.count("*").alias("n_rows"))
-    return with_hours(grouped, fact, *keys)
+    """qty, sheets, rows and hours of each group, each sheet's hours once."""
+    return by_sheet(fact, *keys).groupBy(*keys).agg(F.sum("qty").alias("qty"), F.count("sheet_id").alias("n_sheets"), F.sum("n_rows").alias("n_rows"), F.sum("hours").alias("hours"))
 
 
 def top(grouped: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
@@ -61,12 +57,11 @@ def months_before(day: str, months: int) -> Column:
 
 def worker_summary(fact: DataFrame, end: str, days: int = 7) -> DataFrame:
     """Of each operator: sheets, pieces, least, most and mean pieces of a row, and the pieces of the last days, 0 where there are none."""
-    whole = fact.groupBy("operador").agg(F.count_distinct("sheet_id").alias("n_sheets"), F.sum("qtd").alias("qty"), F.min("qtd").alias("least"), F.max("qtd").alias("most"), F.round(F.avg("qtd"), 6).alias("mean"))
-    last = F.lit(end).cast("date")
-    ago = F.datediff(last, F.col("iso_date"))
-    recent = fact.where((ago >= 0) & (ago < days)).groupBy("operador").agg(*[F.coalesce(F.sum(F.when(ago == days - 1 - i, F.col("qtd"))), F.lit(0)).alias(f"d{i}") for i in range(days)])
-    joined = whole.join(recent, "operador", "left")
-    return joined.select(*whole.columns, F.concat_ws(",", *[F.coalesce(f"d{i}", F.lit(0)).cast("string") for i in range(days)]).alias("recent"))
+    ago = F.datediff(F.lit(end).cast("date"), F.col("iso_date"))
+    recent = [F.sum(F.when(ago == days - 1 - i, F.col("qtd"))).alias(f"d{i}") for i in range(days)]
+    one = fact.groupBy("operador", "sheet_id").agg(F.sum("qtd").alias("qty"), F.count("qtd").alias("n"), F.min("qtd").alias("least"), F.max("qtd").alias("most"), *recent)
+    out = one.groupBy("operador").agg(F.count("sheet_id").alias("n_sheets"), F.sum("qty").alias("qty"), F.min("least").alias("least"), F.max("most").alias("most"), F.round(F.sum("qty") / F.sum("n"), 6).alias("mean"), *[F.coalesce(F.sum(f"d{i}"), F.lit(0)).cast("string").alias(f"d{i}") for i in range(days)])
+    return out.select("operador", "n_sheets", "qty", "least", "most", "mean", F.concat_ws(",", *[f"d{i}" for i in range(days)]).alias("recent"))
 
 
 def worker_detail(fact: DataFrame, operador: str) -> dict[str, DataFrame]:
@@ -80,22 +75,24 @@ def worker_detail(fact: DataFrame, operador: str) -> dict[str, DataFrame]:
 
 
 def job_summary(fact: DataFrame) -> DataFrame:
-    """Of each order: pieces, sheets, operators, its client (the greatest by name) and its models, sorted."""
-    return fact.groupBy("of").agg(
-        F.sum("qtd").alias("qty"),
-        F.count_distinct("sheet_id").alias("n_sheets"),
-        F.count_distinct("operador").alias("n_operador"),
+    """Of each order: pieces, sheets, operators, its client (the greatest by name) and its models, sorted. Operators and
+    models of an order are few; its sheets, which may be many, are counted as rows."""
+    one = fact.groupBy("of", "sheet_id").agg(F.sum("qtd").alias("qty"), F.collect_set("operador").alias("o"), F.max("cliente").alias("cliente"), F.collect_set("segmento").alias("s"), F.max("iso_date").alias("day"))
+    every = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    return one.groupBy("of").agg(
+        F.sum("qty").alias("qty"),
+        F.count("sheet_id").alias("n_sheets"),
+        F.size(every("o")).cast("long").alias("n_operador"),
         F.max("cliente").alias("cliente"),
-        F.concat_ws(",", F.array_sort(F.collect_set("segmento"))).alias("segmentos"),
-        F.max("iso_date").cast("string").alias("last_day"),
+        F.concat_ws(",", F.array_sort(every("s"))).alias("segmentos"),
+        F.max("day").cast("string").alias("last_day"),
     )
 
 
 def client_matrix(fact: DataFrame, left: str = "operador", right: str = "segmento") -> DataFrame:
     """Pieces, sheets and pieces an hour of each pair; pairs with a placeholder go after the sums are made."""
-    grouped = fact.groupBy(left, right).agg(F.sum("qtd").alias("qty"), F.count_distinct("sheet_id").alias("n_sheets"))
     rate = F.when(F.col("hours") > 0, F.round(F.col("qty") / F.col("hours"), 6)).otherwise(F.lit(0.0))
-    return with_hours(grouped, fact, left, right).withColumn("rate", rate).where(~F.trim(right).isin(*PLACEHOLDERS))
+    return totals_by(fact, left, right).drop("n_rows").withColumn("rate", rate).where(~F.trim(right).isin(*PLACEHOLDERS))
 
 
 def model_matrix(fact: DataFrame, n: int = 5) -> DataFrame:
@@ -132,13 +129,12 @@ def sector_overview(fact: DataFrame, dimension: DataFrame) -> DataFrame:
     dimension: label, sector, machine. Sheet hours are distinct by sheet in every grouping set.
     """
     routed = fact.join(dimension, fact["setor"] == dimension["label"]).drop("label")
-    sums = routed.rollup("sector", "machine").agg(F.sum("qtd").alias("qty"), F.count_distinct("sheet_id").alias("n_sheets"), F.grouping_id().alias("level"))
-    hours = routed.select("sector", "machine", "sheet_id", "hours").distinct()
-    by = hours.groupBy("sector", "machine").agg(F.sum("hours").alias("hours"), F.lit(0).alias("level"))
-    by = by.unionByName(hours.drop("machine").distinct().groupBy("sector").agg(F.sum("hours").alias("hours")).select("sector", F.lit(None).cast("string").alias("machine"), "hours", F.lit(1).alias("level")))
-    by = by.unionByName(hours.select("sheet_id", "hours").distinct().agg(F.sum("hours").alias("hours")).select(F.lit(None).cast("string").alias("sector"), F.lit(None).cast("string").alias("machine"), "hours", F.lit(3).alias("level")))
-    same = sums["sector"].eqNullSafe(by["sector"]) & sums["machine"].eqNullSafe(by["machine"]) & (sums["level"] == by["level"])
-    return sums.join(by, same).select(sums["sector"], sums["machine"], "qty", "n_sheets", by["hours"], sums["level"].cast("int").alias("level"))
+    one = by_sheet(routed, "sector", "machine")
+    none = F.lit(None).cast("string")
+    sets = F.array(F.struct("sector", "machine", F.lit(0).alias("level")), F.struct("sector", none.alias("machine"), F.lit(1).alias("level")), F.struct(none.alias("sector"), none.alias("machine"), F.lit(3).alias("level")))
+    # a sheet of several machines counts once in each subtotal
+    spread = one.select("sheet_id", "qty", "hours", F.inline(sets)).groupBy("sector", "machine", "level", "sheet_id").agg(F.sum("qty").alias("qty"), F.max("hours").alias("hours"))
+    return spread.groupBy("sector", "machine", "level").agg(F.sum("qty").alias("qty"), F.count("sheet_id").alias("n_sheets"), F.sum("hours").alias("hours")).select("sector", "machine", "qty", "n_sheets", "hours", "level")
 
 
 def period(day: str, kind: str) -> tuple[Column, Column]:

@@ -130,6 +130,19 @@ def recent_against_before(rows: DataFrame, order: Column, value: str, recent: in
     return place.agg(F.round(F.avg(F.when(F.col("_n") <= recent, F.col(value))), 6).alias("recent"), F.round(F.avg(F.when(F.col("_n") > recent, F.col(value))), 6).alias("before"))
 
 
+def isotonic(points: DataFrame, order: str, value: str, weight: str) -> DataFrame:
+    """points, few ordered buckets, with values made non-increasing by weighted least squares: that of a bucket is the least,
+    over all stretches' beginnings up to it, of the greatest mean of stretches that hold it."""
+    by = Window.orderBy(order)  # buckets: a handful of rows
+    p = points.select(F.col(order).alias("_i"), F.sum(F.col(value) * F.col(weight)).over(by).alias("_s"), F.sum(weight).over(by).alias("_w"), (F.col(value) * F.col(weight)).alias("_own"), F.col(weight).alias("_one"))
+    j = p.select(F.col("_i").alias("_j"), (F.col("_s") - F.col("_own")).alias("_s0"), (F.col("_w") - F.col("_one")).alias("_w0"))
+    k = p.select(F.col("_i").alias("_k"), F.col("_s").alias("_s1"), F.col("_w").alias("_w1"))
+    means = F.broadcast(j).join(F.broadcast(k), F.col("_j") <= F.col("_k")).select("_j", "_k", ((F.col("_s1") - F.col("_s0")) / (F.col("_w1") - F.col("_w0"))).alias("_m"))
+    most = p.select("_i").join(F.broadcast(means), (F.col("_j") <= F.col("_i")) & (F.col("_k") >= F.col("_i"))).groupBy("_i", "_j").agg(F.max("_m").alias("_m"))
+    fitted = most.groupBy("_i").agg(F.min("_m").alias(value))
+    return points.drop(value).join(fitted, F.col(order) == F.col("_i")).drop("_i")
+
+
 def pooled(points: list[tuple[float, float]]) -> list[float]:
     """Isotonic regression by pooling adjacent violators: values with weights, in order, made non-increasing."""
     blocks: list[list[float]] = []

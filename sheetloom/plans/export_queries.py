@@ -92,7 +92,7 @@ def z23(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "k8_migration",
     """WITH r AS (SELECT l_orderkey AS sheet_id, l_linenumber, l_partkey, l_suppkey, l_quantity, s_name, p_type, p_size, CAST(o_orderdate AS DATE) AS iso_date FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
- w AS (SELECT *, p_size / 4 AS esp, l_quantity * 100 AS comp, 100.0::DOUBLE + l_linenumber AS lb, 90.0::DOUBLE + l_linenumber AS lt FROM r), g AS (SELECT *, CASE WHEN esp >= 0.5 AND comp <= 20000 THEN l_quantity * ((lb + lt) / 2 * comp * esp * 7.85e-6::DOUBLE) END AS kg, CASE WHEN 1000 > lb * 3 + lt * 3 THEN 6 WHEN 1000 > lb * 3 + lt * 2 THEN 5 END AS n FROM w),
+ w AS (SELECT *, p_size / 4 AS esp, l_quantity * 100 AS comp, 101.371::DOUBLE + l_linenumber AS lb, 90.732::DOUBLE + l_linenumber AS lt FROM r), g AS (SELECT *, CASE WHEN esp >= 0.5 AND comp <= 20000 THEN l_quantity * ((lb + lt) / 2 * comp * esp * 7.85e-6::DOUBLE) END AS kg, CASE WHEN 1000 > lb * 3 + lt * 3 THEN 6 WHEN 1000 > lb * 3 + lt * 2 THEN 5 END AS n FROM w),
  c AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 AND esp >= 0.5 THEN CAST(ceil(l_quantity / n) AS INTEGER) END AS chapas FROM g), k AS (SELECT *, chapas * 1000.0::DOUBLE * comp * esp * 7.85e-6::DOUBLE AS used FROM c)
  SELECT iso_date AS data, CASE WHEN l_suppkey % 4 = 0 THEN 10000095 ELSE CAST('1000' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS INTEGER) END AS cod_funcionario, s_name AS nome_funcionario, p_type AS setor_maquina_desc, CASE WHEN l_suppkey % 3 = 0 THEN 'M001' ELSE 'M' || p_size END AS cod_maquina, CAST(l_partkey AS VARCHAR) AS of, '' AS ov, 'C' AS cliente, '' AS modelo, CAST(l_quantity AS INTEGER) AS qtd, NULL::DOUBLE AS qtd_metros,
  CAST(l_linenumber AS DOUBLE) + 0.5 AS m2, '' AS nesting, '' AS cesta_n, '01:30' AS duracao, CAST(comp AS INTEGER) AS comp_mm, 1000 AS larg_mm, esp AS esp_mm, '' AS coni, chapas AS n_chapas, ROUND(used / 1000.0, 3) AS peso_consumido_t, ROUND(kg / 1000.0, 3) AS peso_produzido_t, CASE WHEN used IS NOT NULL AND kg IS NOT NULL THEN ROUND(GREATEST(0.0, used - kg) / 1000.0, 3) END AS desperdicio_t, CASE WHEN used IS NOT NULL AND kg IS NOT NULL THEN ROUND(GREATEST(0.0, used - kg) / used * 100, 2) END AS desperdicio_pct, CAST(l_linenumber % 2 AS INTEGER) AS sucata, 'M99' AS lote, CASE WHEN l_linenumber = 3 THEN 'X' ELSE '' END AS fecho FROM k""",
@@ -122,8 +122,8 @@ def k8(spark: SparkSession, d: str) -> DataFrame:
         F.lit("1h").alias("fim"),
         (F.col("l_quantity") * 100).alias("comp"),
         F.lit(1000.0).alias("larg"),
-        (100.0 + line).alias("lbase"),
-        (90.0 + line).alias("ltopo"),
+        (101.371 + line).alias("lbase"),
+        (90.732 + line).alias("ltopo"),
         (size / 4).alias("esp"),
         *[none.alias(c) for c in ("plan_comp", "plan_lbase", "plan_ltopo", "plan_esp", "plan_unit_kg", "plan_pieces", "lot_esp", "lot_larg")],
         F.lit(False).alias("in_plan"),

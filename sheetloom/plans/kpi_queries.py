@@ -31,37 +31,37 @@ def text(df: DataFrame, *columns: str) -> DataFrame:
  COUNT(DISTINCT of) AS n_of, COUNT(DISTINCT operador) AS n_operador, COUNT(DISTINCT CASE WHEN TRIM(cliente) <> '' THEN cliente END) AS n_cliente FROM d""",
 )
 def a1(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.day_summary(facts(spark, d), DAY)
+    return kpis.day_summary(facts(spark, d, "sheet_id", "qtd", "of", "operador", "cliente", "status", "iso_date", "hours"), DAY)
 
 
 @query("a2_by_operador", totals("operador"))
 def a2(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.totals_by(facts(spark, d), "operador")
+    return kpis.totals_by(facts(spark, d, "sheet_id", "qtd", "operador", "hours"), "operador")
 
 
 @query("a2_top_of", f"WITH {FACT} SELECT of, CAST(SUM(qtd) AS BIGINT) AS qty FROM fact GROUP BY of ORDER BY qty DESC, of LIMIT 10")
 def a2_of(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.top(facts(spark, d).groupBy("of").agg(F.sum("qtd").alias("qty")), "qty", 10, "of")
+    return kpis.top(facts(spark, d, "of", "qtd").groupBy("of").agg(F.sum("qtd").alias("qty")), "qty", 10, "of")
 
 
 @query("a3_daily_trend", totals("iso_date", where=f"iso_date BETWEEN DATE '{AS_OF}' - 30 AND DATE '{AS_OF}'"))
 def a3(spark: SparkSession, d: str) -> DataFrame:
-    return text(kpis.totals_by(kpis.last_days(facts(spark, d), AS_OF, 30), "iso_date"), "iso_date")
+    return text(kpis.totals_by(kpis.last_days(facts(spark, d, "sheet_id", "qtd", "iso_date", "hours"), AS_OF, 30), "iso_date"), "iso_date")
 
 
 @query("a4_day_operador", f"WITH {FACT} SELECT CAST(iso_date AS VARCHAR) AS iso_date, operador, CAST(SUM(qtd) AS BIGINT) AS qty FROM fact GROUP BY fact.iso_date, operador")
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return text(facts(spark, d).groupBy("iso_date", "operador").agg(F.sum("qtd").alias("qty")), "iso_date")
+    return text(facts(spark, d, "iso_date", "operador", "qtd").groupBy("iso_date", "operador").agg(F.sum("qtd").alias("qty")), "iso_date")
 
 
 @query("a5_weekly_trend", totals("week", more=", strftime(iso_date, '%Y-W%W') AS week"))
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.totals_by(facts(spark, d).withColumn("week", kpis.week_key(F.col("iso_date"))), "week")
+    return kpis.totals_by(facts(spark, d, "sheet_id", "qtd", "iso_date", "hours").withColumn("week", kpis.week_key(F.col("iso_date"))), "week")
 
 
 @query("a6_monthly_trend", totals("month", where="iso_date > DATE '1998-05-31' - INTERVAL 400 DAY", more=", strftime(iso_date, '%Y-%m') AS month"))
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    f = facts(spark, d).where("iso_date > date_sub(date '1998-05-31', 400)")
+    f = facts(spark, d, "sheet_id", "qtd", "iso_date", "hours").where("iso_date > date_sub(date '1998-05-31', 400)")
     return kpis.totals_by(f.withColumn("month", F.date_format("iso_date", "yyyy-MM")), "month")
 
 
@@ -77,7 +77,7 @@ def d6(spark: SparkSession, d: str) -> DataFrame:
  SELECT operador, COUNT(DISTINCT sheet_id) AS n_sheets, CAST(SUM(qtd) AS BIGINT) AS qty, MIN(qtd) AS least, MAX(qtd) AS most, ROUND(AVG(qtd), 6) AS mean, concat_ws(',', {", ".join(f"ANY_VALUE(d{i})" for i in range(7))}) AS recent FROM fact JOIN r USING (operador) GROUP BY operador""",
 )
 def a7(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.worker_summary(facts(spark, d), AS_OF)
+    return kpis.worker_summary(facts(spark, d, "sheet_id", "qtd", "operador", "iso_date"), AS_OF)
 
 
 @query("a8_worker_models", f"WITH {FACT} SELECT modelo, CAST(SUM(qtd) AS BIGINT) AS qty, COUNT(*) AS n_rows FROM fact WHERE operador = 'Supplier#000000001' GROUP BY modelo")
@@ -96,7 +96,7 @@ def a8_sheets(spark: SparkSession, d: str) -> DataFrame:
  string_agg(DISTINCT segmento, ',' ORDER BY segmento) AS segmentos, CAST(MAX(iso_date) AS VARCHAR) AS last_day FROM fact GROUP BY of""",
 )
 def a9(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.job_summary(facts(spark, d))
+    return kpis.job_summary(facts(spark, d, "of", "sheet_id", "qtd", "operador", "cliente", "segmento", "iso_date"))
 
 
 @query("a10_job_detail", f"WITH {FACT} SELECT sheet_id, operador, CAST(SUM(qtd) AS BIGINT) AS qty FROM fact WHERE of = 7 GROUP BY sheet_id, operador")
@@ -110,7 +110,7 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
  SELECT operador, segmento, qty, n_sheets, hours, CASE WHEN hours > 0 THEN ROUND(qty / hours, 6) ELSE 0 END AS rate FROM g JOIN h USING (operador, segmento) WHERE TRIM(segmento) NOT IN ('', '/', '-')""",
 )
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.client_matrix(facts(spark, d))
+    return kpis.client_matrix(facts(spark, d, "sheet_id", "qtd", "operador", "segmento", "hours"))
 
 
 @query(
@@ -119,17 +119,17 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
  SELECT operador, modelo, CAST(SUM(qtd) AS BIGINT) AS qty FROM fact WHERE modelo IN (SELECT modelo FROM best) GROUP BY operador, modelo""",
 )
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.model_matrix(facts(spark, d))
+    return kpis.model_matrix(facts(spark, d, "operador", "modelo", "qtd"))
 
 
 @query("a13_top_clientes", f"WITH {FACT} SELECT cliente, CAST(SUM(qtd) AS BIGINT) AS qty FROM fact GROUP BY cliente ORDER BY qty DESC, cliente LIMIT 10")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.top(facts(spark, d).groupBy("cliente").agg(F.sum("qtd").alias("qty")), "qty", 10, "cliente")
+    return kpis.top(facts(spark, d, "cliente", "qtd").groupBy("cliente").agg(F.sum("qtd").alias("qty")), "qty", 10, "cliente")
 
 
 @query("a15_lead_time", f"WITH {FACT} SELECT of, date_diff('day', MIN(iso_date), MAX(iso_date)) AS days, COUNT(DISTINCT sheet_id) AS n_sheets FROM fact GROUP BY of HAVING MAX(iso_date) > MIN(iso_date)")
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.lead_time(facts(spark, d))
+    return kpis.lead_time(facts(spark, d, "of", "sheet_id", "iso_date"))
 
 
 @query("a16_alert_low", f"WITH {SHEET} SELECT sheet_id, total FROM (SELECT * FROM sheet ORDER BY sheet_id DESC LIMIT 100) WHERE total < 100000")
@@ -172,7 +172,7 @@ def dimension(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT NULL, NULL, CAST(SUM(qtd) AS BIGINT), COUNT(DISTINCT sheet_id), (SELECT SUM(hours) FROM (SELECT DISTINCT sheet_id, hours FROM h)), 3 FROM r""",
 )
 def a17(spark: SparkSession, d: str) -> DataFrame:
-    return kpis.sector_overview(facts(spark, d), dimension(spark, d))
+    return kpis.sector_overview(facts(spark, d, "sheet_id", "qtd", "setor", "hours"), dimension(spark, d))
 
 
 for _kind, _range in (("day", ("DATE '1998-06-30'", "DATE '1998-06-30'")), ("week", ("DATE '1998-06-29'", "DATE '1998-07-05'")), ("month", ("DATE '1998-06-01'", "DATE '1998-06-30'")), ("year", ("DATE '1998-01-01'", "DATE '1998-12-31'"))):

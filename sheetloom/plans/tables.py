@@ -27,8 +27,14 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each line of a sheet. The dimension tables are joined by key; Spark broadcasts them while they are small."""
+#: Which table a fact's column comes from.
+SOURCES = {"operador": "supplier", "modelo": "part", "larg": "part", "cliente": "customer", "segmento": "customer", "status": "orders", "iso_date": "orders", "setor": "orders", "hours": "orders"}
+
+
+def facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """A row for each line of a sheet. The dimension tables are joined by key; Spark broadcasts them while they are small.
+    With columns given, only the tables that have them are joined: every line has its partner in all of them."""
+    needed = {SOURCES[c] for c in columns if c in SOURCES} if columns else set(SOURCES.values())
     row = read(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("sheet_id"),
         F.col("l_linenumber").alias("row_index"),
@@ -42,8 +48,15 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     operador = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.col("s_name").alias("operador"))
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("of"), F.concat_ws(" ", "p_brand", "p_type").alias("modelo"), F.col("p_size").alias("larg"))
     customer = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("cliente"), F.col("c_mktsegment").alias("segmento"))
-    head = sheets(spark, sf_dir).join(customer, "custkey").drop("custkey", "total")
-    return row.join(head, "sheet_id").join(operador, "suppkey").join(part, "of")
+    out = row
+    if needed & {"orders", "customer"}:
+        head = sheets(spark, sf_dir)
+        out = row.join((head.join(customer, "custkey") if "customer" in needed else head).drop("custkey", "total"), "sheet_id")
+    if "supplier" in needed:
+        out = out.join(operador, "suppkey")
+    if "part" in needed:
+        out = out.join(part, "of")
+    return out.select(*columns) if columns else out
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,13 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def sheet_rows(spark: SparkSession, path: str, header: bool = True, sep: str = ";") -> DataFrame:
-    """A spreadsheet's export as texts, columns in lower case, with the rows' order as ord (by file and line)."""
-    df = spark.read.option("header", header).option("sep", sep).csv(path)
-    df = df.toDF(*[c.strip().lower() for c in df.columns])
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """A spreadsheet's exports as texts, columns in lower case, with each row's file and its place there from 1 (ord). The
+    files are read whole, one to a task, for a split has no line numbers; such exports have some ten thousand rows."""
+    names = [c.strip().lower() for c in spark.read.option("header", header).option("sep", sep).csv(path).columns]
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r", ""), "\n")).alias("ord", "_line"))
+    lines = lines.where((F.trim("_line") != "") & (F.lit(not header) | (F.col("ord") > 0)))
+    read = F.from_csv("_line", ", ".join(f"`{i}` string" for i in range(len(names))), {"sep": sep, "mode": "PERMISSIVE"})
+    return lines.withColumn("_r", read).select(*[F.col(f"_r.`{i}`").alias(n) for i, n in enumerate(names)], "file", (F.col("ord") + (0 if header else 1)).cast("long").alias("ord"))
 
 
 def until_blank(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
@@ -97,14 +100,43 @@ def three_blocks(header: DataFrame, rows: DataFrame, footer: DataFrame, key: str
     return a.unionByName(b).unionByName(c)
 
 
-def snapshot(df: DataFrame, path: str) -> None:
-    """A copy that replaces the last one only when it is complete."""
-    df.write.mode("overwrite").parquet(path)
+def snapshot(df: DataFrame, path: str, stamp: str) -> str:
+    """A copy in a folder of its own, <path>/<stamp>; what was there under another stamp stays. Spark marks a folder that is
+    complete (_SUCCESS), and `latest` reads none but such, so that a copy that fails takes no earlier one's place."""
+    at = f"{path.rstrip('/')}/{stamp}"
+    df.write.mode("errorifexists").parquet(at)
+    return at
 
 
-def read_blocks(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """(file, block, place, cells): a text file's lines, blocks parted by blank lines; a file without blank lines is one flat block."""
-    t = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete snapshot, by its stamp; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    done = [f.getPath() for f in fs.listStatus(place) if f.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    newest = max((p.toString() for p in done), key=lambda p: p.rsplit("/", 1)[1], default=None)
+    return spark.read.parquet(newest) if newest else None
+
+
+def write_json(df: DataFrame, path: str, stamp: str) -> str:
+    """As snapshot, a file of JSON lines for each part."""
+    at = f"{path.rstrip('/')}/{stamp}"
+    df.write.mode("errorifexists").json(at)
+    return at
+
+
+def read_blocks(spark: SparkSession, path: str, sep: str | None = ";") -> DataFrame:
+    """(file, block, place, cells): a text file's lines, blocks parted by blank lines; a file without blank lines is one flat
+    block. Without sep each file's own counts: a semicolon if its first line has more of them than commas, else a comma."""
+    t = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     blocks = t.select("file", F.posexplode(F.split(F.trim(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r", "")), r"\n\s*\n")).alias("block", "b"))
-    lines = blocks.select("file", "block", F.posexplode(F.split("b", "\n")).alias("place", "line"))
-    return lines.select("file", "block", "place", F.split("line", sep).alias("cells"))
+    if sep is not None:
+        blocks = blocks.withColumn("sep", F.lit(sep))
+    else:
+        first = blocks.where("block = 0").select("file", F.get(F.split("b", "\n"), F.lit(0)).alias("_l"))
+        count = lambda c: F.length("_l") - F.length(F.replace("_l", F.lit(c), F.lit("")))
+        blocks = blocks.join(first.select("file", F.when(count(";") > count(","), ";").otherwise(",").alias("sep")), "file")
+    lines = blocks.select("file", "block", "sep", F.posexplode(F.split("b", "\n")).alias("place", "line"))
+    return lines.select("file", "block", "place", F.split("line", F.col("sep")).alias("cells"))

@@ -95,6 +95,32 @@ def test_guarded_sql(spark):
         with pytest.raises(sqlguard.Refused):
             sqlguard.asked(spark, bad, t)
     assert sqlguard.asked(spark, "SELECT 'drop; table' AS x FROM facts LIMIT 1", t).collect()[0].x == "drop; table"
+    assert sqlguard.asked(spark, "SELECT k % 3 AS g, COUNT(DISTINCT k) AS n, upper('a') AS u, CASE WHEN MAX(k) > 5 THEN 1 END AS c FROM facts f WHERE k BETWEEN 1 AND 200 AND EXISTS (SELECT 1 FROM facts x WHERE x.k = f.k) GROUP BY 1 HAVING COUNT(*) > 2 ORDER BY n DESC LIMIT 5", t).count() == 3
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS h FROM facts LIMIT 1",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS h FROM facts LIMIT 1",
+        "SELECT `reflect`('a', 'b') AS h FROM facts LIMIT 1",
+        "SELECT 'a\\'', reflect('x', 'y') AS h, '\\'' FROM facts LIMIT 1",
+        "WITH q AS (SELECT reflect('a', 'b') AS z FROM facts) SELECT * FROM q LIMIT 1",
+        "SELECT k FROM facts WHERE k IN (SELECT java_method('a', 'b') FROM facts) LIMIT 1",
+        "SELECT * FROM range(5) LIMIT 1",
+        "SELECT k FROM facts WHERE k IN (SELECT id FROM range(5)) LIMIT 1",
+        "SELECT * FROM facts, explode(array(1)) LIMIT 1",
+        "SELECT k FROM facts LATERAL VIEW explode(array(1)) t AS z LIMIT 1",
+        "SELECT * FROM VALUES (1) LIMIT 1",
+        "SELECT * FROM parquet.`/etc` LIMIT 1",
+        "SELECT k FROM facts WHERE k = (SELECT MAX(k) FROM hidden) LIMIT 1",
+        "WITH hidden AS (SELECT k FROM facts) SELECT * FROM hidden LIMIT 1",
+    ],
+)
+def test_guarded_sql_refuses(spark, bad):
+    spark.range(1).withColumnRenamed("id", "k").createOrReplaceTempView("hidden")
+    with pytest.raises(sqlguard.Refused):
+        sqlguard.asked(spark, bad, {"facts": spark.range(3).withColumnRenamed("id", "k")})
 
 
 def test_documents_to_facts(spark):
@@ -133,6 +159,22 @@ def test_murphy_adds_up(spark):
 
 
 def test_weights(spark):
-    df = spark.createDataFrame([(5000.0, 1500.0, 2.0), (None, 1.0, 1.0), (5000.0, 1500.0, 99.0)], "a double, b double, c double")
-    got = [r[0] for r in df.select(workorders.plate_weight(F.col("a"), F.col("b"), F.col("c"))).collect()]
-    assert got[0] == pytest.approx(117.75) and got[1:] == [None, None]
+    """By hand: ladder, trapezoid, guards, and which source each measure and weight comes from."""
+    one = lambda c: spark.range(1).select(c).collect()[0][0]
+    lit = lambda *v: [F.lit(x).cast("double") for x in v]
+    assert [one(workorders.slices_of(*lit(w, 200, 150))) for w in (1051, 1050, 900, 700, 550, 350, 200, None)] == [6, 5, 4, 3, 2, 1, 0, 0]
+    assert [one(workorders.slices_of(*lit(210, 200, 150, length, 1000))) for length in (1101, 1100)] == [2, 1]
+    assert one(workorders.piece_weight(*lit(2, 200, 150, 5000, 2.5))) == pytest.approx(2 * 175 * 5000 * 2.5 * 7.85e-6)
+    assert [one(workorders.piece_weight(*lit(*v))) for v in ((2, 200, 150, 5000, 31), (2, 2001, 150, 5000, 2), (2, 200, 150, 20001, 2), (0, 200, 150, 5000, 2), (2, None, 150, 5000, 2))] == [0.0] * 5
+    columns = "qtd comp lbase ltopo esp larg plan_comp plan_lbase plan_ltopo plan_esp plan_unit_kg plan_pieces lot_esp lot_larg".split()
+    base = dict.fromkeys(columns) | {"qtd": 10.0, "comp": 5000.0, "lbase": 200.0, "ltopo": 150.0, "esp": 9.0, "larg": 900.0, "plan_comp": 4000.0, "plan_esp": 3.0, "lot_esp": 2.5, "plan_unit_kg": 7.0}
+    cases = [(base, True, []), (base, False, []), (base | {"plan_unit_kg": None}, False, []), (base, True, ["comp_mm", "esp"]), (base | {"qtd": 0.0}, True, []), (base | {"larg": 100.0}, True, []), (base | {"plan_pieces": 2.0}, True, [])]
+    rows = [(*[v[c] for c in columns], direct, human, True, False) for v, direct, human in cases]
+    schema = ", ".join(f"{c} double" for c in columns) + ", direct boolean, human array<string>, in_plan boolean, in_lot boolean"
+    got = workorders.row_weights(spark.createDataFrame(rows, schema)).collect()
+    kg = lambda comp, esp: 10 * 175 * comp * esp * 7.85e-6
+    assert got[0].produced_kg == pytest.approx(kg(4000, 2.5)) and got[0].produced_source == "geometry" and got[0].n_slices == 3  # four to a slice
+    assert got[0].consumed_kg == pytest.approx(3 * 900 * 4000 * 2.5 * 7.85e-6) and got[0].wasted_pct == pytest.approx(100 * (1 - 10 * 175 / 2700)) and got[0].consumption_source == "plan_lot"
+    assert (got[1].produced_kg, got[1].produced_source, got[1].consumed_kg) == (70.0, "plan", None)
+    assert got[2].produced_source == "geometry" and got[3].produced_kg == pytest.approx(kg(5000, 9.0))
+    assert (got[4].produced_kg, got[4].n_slices, got[5].n_slices, got[6].n_slices) == (None, None, None, 5)

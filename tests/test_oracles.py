@@ -40,3 +40,9 @@ def test_no_cartesian_product_in_joins(spark):
 def test_filters_reach_the_scan(spark):
     plan = catalogue.queries()["a10_job_detail"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_partkey), EqualTo(l_partkey,7)" in plan
+
+
+@pytest.mark.parametrize("name", ["a2_by_operador", "a3_daily_trend", "a5_weekly_trend", "a7_workers", "a9_jobs", "a11_client_matrix", "a17_sector_overview"])
+def test_indicators_read_the_facts_once(spark, name):
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") == 1 and "Expand" not in plan
