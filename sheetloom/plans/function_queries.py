@@ -134,10 +134,10 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", workorders.slices_of(F.col("p_retailprice"), size * 10.0, size * 8.0, F.lit(1000.0), wanted).alias("n"))
 
 
-@query("m4_piece_weight", "WITH v AS (SELECT p_partkey, (p_partkey % 9)::DOUBLE AS n, p_size * 50.0::DOUBLE AS b, p_size * 40.0::DOUBLE AS t, p_retailprice * 15 AS l, p_size / 4 AS e FROM part) SELECT p_partkey, CASE WHEN n > 0 AND b <= 2000 AND t <= 2000 AND l <= 20000 AND e >= 0.5 THEN ROUND(n * ((b + t) / 2 * l * e * 7.85e-6::DOUBLE), 6) ELSE 0 END::DOUBLE AS kg FROM v")
+@query("m4_piece_weight", "WITH v AS (SELECT p_partkey, (p_partkey % 9)::DOUBLE AS n, p_size * 50.0::DOUBLE AS b, p_size * 40.0::DOUBLE AS t, p_retailprice * 15 AS l, p_size / 4 AS e FROM part) SELECT p_partkey, CASE WHEN n > 0 AND b <= 2000 AND t <= 2000 AND l <= 20000 AND e >= 0.5 THEN ROUND(n * ((b + t) / 2 * l * e * 7.85e-6::DOUBLE), 3) ELSE 0 END::DOUBLE AS kg FROM v")
 def m4(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
-    return read(spark, d, "part").select("p_partkey", F.round(workorders.piece_weight((F.col("p_partkey") % 9).cast("double"), size * 50.0, size * 40.0, F.col("p_retailprice") * 15, size / 4), 6).alias("kg"))
+    return read(spark, d, "part").select("p_partkey", F.round(workorders.piece_weight((F.col("p_partkey") % 9).cast("double"), size * 50.0, size * 40.0, F.col("p_retailprice") * 15, size / 4), 3).alias("kg"))
 
 
 @query("m7_number_likeness", "WITH v AS (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 50 / 10)::DOUBLE AS b FROM part), o AS (SELECT *, LEAST(abs(a - b), CASE WHEN a >= 10 AND a / 10 BETWEEN 0.5 AND 15 THEN abs(a / 10 - b) ELSE abs(a - b) END) AS off FROM v) SELECT p_partkey, CASE WHEN off <= 0.05 THEN 1.0 ELSE ROUND(GREATEST(0.0, 1 - (off - 0.05) / 1.0), 6) END::DOUBLE AS likeness, CASE WHEN abs(a - b) >= 20 THEN 0.0 WHEN abs(a - b) <= 2 THEN 100.0 ELSE ROUND(100.0 * (1 - abs(a - b) / 20), 6) END::DOUBLE AS nearness FROM o")
