@@ -233,13 +233,14 @@ def test_tree_loses_nothing():
         assert sorted(tree.near(counts[i])) == expected.tolist()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [0, graph.MANY])
+def test_components(spark, many):
     r = random.Random(2)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
     par, find = rooted(2000)
     for a, b in pairs:
         par[max(find(a), find(b))] = min(find(a), find(b))
-    got = dict(map(tuple, graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    got = dict(map(tuple, graph.components(spark.createDataFrame(pairs, "a long, b long"), many=many).collect()))
     nodes = {x for p in pairs for x in p if p[0] != p[1]}
     assert got == {x: find(x) for x in nodes}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
