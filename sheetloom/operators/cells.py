@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,16 +228,22 @@ def row_denominator(rows: DataFrame, plan: DataFrame, m: dict[str, float], small
     them, the product of m where a field is equal and of (1 - m) times chance where not, over the plan's size; at least
     the product of chances."""
     fields = list(m)
-    keys = [rows.where(F.col(f).isNotNull() & (F.col(f) != "")).select("row_id", f).join(plan.select("plan_ord", f), f).select("row_id", "plan_ord") for f in fields]
-    union = reduce(DataFrame.unionByName, keys).distinct()
-    j = union.join(rows.select("row_id", *[F.col(f).alias(f"_r_{f}") for f in fields]), "row_id").join(plan.select("plan_ord", *[F.col(f).alias(f"_e_{f}") for f in fields]), "plan_ord")
-    written = lambda f: F.coalesce(F.col(f"_r_{f}") != "", F.lit(False))
-    k = lambda f: F.when(~written(f), 1.0).when(F.col(f"_r_{f}") == F.col(f"_e_{f}"), m[f]).otherwise((1 - m[f]) * JOINT_U[f])
-    total = j.groupBy("row_id").agg(F.sum(reduce(lambda a, b: a * b, [k(f) for f in fields])).alias("_t"))
+    written = lambda f: F.coalesce(F.col(f) != "", F.lit(False))
+    every = [c for n in range(1, len(fields) + 1) for c in combinations(fields, n)]
+    # entries equal in all fields of a set, counted once for each combination of values, then those equal in no others
+    held = rows
+    for i, c in enumerate(every):
+        counts = plan.groupBy(*[F.col(f).alias(f"_e_{f}") for f in c]).agg(F.count("*").alias(f"_c{i}"))
+        equal = reduce(lambda a, b: a & b, [(F.col(f) == F.col(f"_e_{f}")) & written(f) for f in c])
+        held = held.join(counts, equal, "left").drop(*[f"_e_{f}" for f in c])
+    equal_in = {c: F.coalesce(f"_c{i}", F.lit(0)) for i, c in enumerate(every)}
+    alone = {c: reduce(lambda a, b: a + b, [(-1) ** (len(x) - len(c)) * equal_in[x] for x in every if set(c) <= set(x)]) for c in every}
+    k = lambda f, c: F.when(~written(f), 1.0).otherwise(m[f] if f in c else (1 - m[f]) * JOINT_U[f])
+    total = reduce(lambda a, b: a + b, [alone[c] * reduce(lambda a, b: a * b, [k(f, c) for f in fields]) for c in every])
     size = plan.agg(F.greatest(F.count("*"), F.lit(smallest)).cast("double").alias("_n"))
     floor = reduce(lambda a, b: a * b, [F.when(F.coalesce(F.col(f) != "", F.lit(False)), m[f] * JOINT_U[f]).otherwise(1.0) for f in fields])
-    out = rows.join(total, "row_id", "left").crossJoin(F.broadcast(size))  # one row
-    return out.select("row_id", F.round(F.log2(F.greatest(F.coalesce("_t", F.lit(0.0)) / F.col("_n"), floor, F.lit(1e-30))), 6).alias("bits"))
+    out = held.crossJoin(F.broadcast(size))  # one row
+    return out.select("row_id", F.round(F.log2(F.greatest(total / F.col("_n"), floor, F.lit(1e-30))), 6).alias("bits"))
 
 
 def variant(label: str) -> tuple[str, frozenset[str]]:
