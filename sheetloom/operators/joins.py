@@ -48,8 +48,11 @@ def lookup_chain(rows: DataFrame, entries: DataFrame) -> DataFrame:
     best = met.groupBy("row_id").agg(F.max_by(F.struct("entry_ord", against.alias("against")), F.struct(points.alias("p"), (-apart).alias("d"), (-F.col("entry_ord")).alias("o"))).alias("b"))
     direct = best.where("not b.against").select("row_id", F.col("b.entry_ord").alias("entry_ord"), F.lit("of").alias("via"))
     rest = r.where(known("r_ov") & known("r_model")).join(direct.select("row_id"), "row_id", "left_anti")
-    near = rest.join(e, F.col("r_ov") == F.col("e_ov")).where(model)
-    unique = near.groupBy("row_id").agg(F.min("entry_ord").alias("entry_ord"), F.count_distinct(F.struct(F.coalesce("e_of", F.lit("")), "e_model")).alias("n")).where("n = 1").select("row_id", "entry_ord", F.lit("ov").alias("via"))
+    # only the sales order and the model decide here: each pair of them that is written meets each that is planned, once
+    planned = e.where(known("e_ov") & known("e_model")).groupBy("e_ov", "e_model").agg(F.min("entry_ord").alias("entry_ord"), F.min(F.coalesce("e_of", F.lit(""))).alias("least"), F.max(F.coalesce("e_of", F.lit(""))).alias("most"))
+    near = rest.select("r_ov", "r_model").distinct().join(planned, F.col("r_ov") == F.col("e_ov")).where(model)
+    one = near.groupBy("r_ov", "r_model").agg(F.min("entry_ord").alias("entry_ord"), F.count("*").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).where("n = 1 and least = most")
+    unique = rest.join(one, ["r_ov", "r_model"]).select("row_id", "entry_ord", F.lit("ov").alias("via"))
     return direct.unionAll(unique)
 
 

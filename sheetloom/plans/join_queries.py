@@ -27,9 +27,10 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     modelo = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Brand#"), (F.col("l_partkey") % 5 + 1).cast("string"))).otherwise("x")
     none = F.lit(None).cast("double").alias("ltopo")
     li = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id")).agg(F.min("l_partkey").alias("of"), F.min("l_suppkey").alias("s"), F.min(modelo).alias("modelo"), F.min("l_quantity").alias("q"), F.min("l_linenumber").alias("n"))
-    rows = li.select("row_id", F.col("of").cast("string").alias("of"), (F.col("s") % 50 + 1).cast("string").alias("ov"), "modelo", F.concat(F.lit("c"), (F.col("s") % 3).cast("string")).alias("cliente"), (F.col("q") * 40).alias("comp"), (F.col("n") * 10).alias("lbase"), none)
+    number = lambda c: F.lpad(c.cast("string"), 6, "0").alias("of")  # noqa: E731 -- six characters, as in the SQL, of longer keys the first
+    rows = li.select("row_id", number(F.col("of")), (F.col("s") % 50 + 1).cast("string").alias("ov"), "modelo", F.concat(F.lit("c"), (F.col("s") % 3).cast("string")).alias("cliente"), (F.col("q") * 40).alias("comp"), (F.col("n") * 10).alias("lbase"), none)
     p, size = read(spark, d, "part"), F.col("p_size")
-    entries = p.select(F.col("p_partkey").alias("entry_ord"), (F.col("p_partkey") - F.col("p_partkey") % 3).cast("string").alias("of"), size.cast("string").alias("ov"), F.concat_ws(" ", "p_brand", "p_type").alias("designacao"), F.concat(F.lit("C"), (size % 3).cast("string")).alias("cliente"), (size * 40).alias("comp"), size.alias("lbase"), none)
+    entries = p.select(F.col("p_partkey").alias("entry_ord"), number(F.col("p_partkey") - F.col("p_partkey") % 3), size.cast("string").alias("ov"), F.concat_ws(" ", "p_brand", "p_type").alias("designacao"), F.concat(F.lit("C"), (size % 3).cast("string")).alias("cliente"), (size * 40).alias("comp"), size.alias("lbase"), none)
     return joins.lookup_chain(rows, entries)
 
 
