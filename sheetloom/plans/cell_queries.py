@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import cells, joins, linkage
-from .linkage_queries import BARE, BASE, PLAN, POOL, scored, tables
+from .linkage_queries import BARE, BASE, PLAN, POOL, linked, tables
 from .registry import query
 from .tables import LIKE, SHEET, plan, read, sheets
 
@@ -183,7 +183,7 @@ def l13(spark: SparkSession, d: str) -> DataFrame:
 def l16(spark: SparkSession, d: str) -> DataFrame:
     """A whole row: its winner, and each field's cell by it."""
     rows, plan_rows, _ = tables(spark, d)
-    best = linkage.winners(scored(spark, d)).select("row_id", "plan_ord").join(plan_rows.select("plan_ord", F.col("of").alias("p_of"), F.col("cliente").alias("p_cliente")), "plan_ord")
+    best = linked(spark, d).best().select("row_id", "plan_ord").join(plan_rows.select("plan_ord", F.col("of").alias("p_of"), F.col("cliente").alias("p_cliente")), "plan_ord")
     j = rows.join(best, "row_id", "left")
     won, yes, no = F.col("plan_ord").isNotNull(), F.lit(True), F.lit(False)
     return j.select("row_id", *[cells.decided(f, F.col(f), F.col(f"p_{f}"), won, yes, no, no, no, F.lit(1.0))["status"].alias(f) for f in ("of", "cliente")])

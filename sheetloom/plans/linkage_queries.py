@@ -29,6 +29,10 @@ SCORED = f"""n AS (SELECT GREATEST(COUNT(*), 1000)::DOUBLE AS n FROM p), w AS (S
 BASE = f"WITH {PLAN}, {POOL}, {SCORED}"
 
 
+#: Fields that make an entry a row's candidate.
+BY = [["of"], ["ov", "modelo"]]
+
+
 def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = read(spark, d, "part")
     k = F.col("p_partkey")
@@ -42,12 +46,12 @@ def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
         F.col("p_name").alias("modelo"),
         (k % 7).cast("double").alias("comp"),
     )
-    return rows, plan, linkage.candidates(rows, plan, [["of"], ["ov", "modelo"]])
+    return rows, plan, linkage.candidates(rows, plan, BY)
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    rows, plan, pool = tables(spark, d)
-    return linkage.evidence(rows, plan, pool, ("comp",))
+def linked(spark: SparkSession, d: str) -> linkage.Linked:
+    rows, plan, _ = tables(spark, d)
+    return linkage.Linked(rows, plan, BY, ("comp",))
 
 
 @query("l2_candidates", f"WITH {PLAN}, {POOL} SELECT * FROM pool")
@@ -57,7 +61,7 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l5_bits", f"{BASE} SELECT row_id, plan_ord, bits, agree, raw, exact FROM scored")
 def l5(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).drop("of", "modelo")
+    return linked(spark, d).scored.drop("of", "modelo")
 
 
 @query(
@@ -66,7 +70,7 @@ def l5(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, plan_ord, of, bits, ROUND(bits - rival, 6) AS margin, ROUND(bits - sibling, 6) AS sibling_margin, COALESCE(rivals, 0) AS rivals, CASE WHEN rival IS NULL OR ROUND(bits - rival, 6) >= 4 THEN 'strong' ELSE 'weak_guess' END AS mode FROM b LEFT JOIN o USING (row_id)""",
 )
 def l7(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.winners(scored(spark, d))
+    return linked(spark, d).winners()
 
 
 @query(
@@ -76,14 +80,14 @@ def l7(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, ROUND(own / (z + nul + rest), 9) AS p_of, ROUND(nul / (z + nul + rest), 9) AS p_null FROM t""",
 )
 def l8(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.posterior(scored(spark, d), read(spark, d, "part").count()).select("row_id", "p_of", "p_null")
+    return linked(spark, d).posterior(read(spark, d, "part").count()).select("row_id", "p_of", "p_null")
 
 
 @query("l12_cells", f"""{BASE}, b AS (SELECT row_id, of FROM ranked WHERE place = 1), c AS (SELECT row_id, r.of AS a, b.of AS x, {SIM.format(a="r.of", b="b.of")} AS s FROM r LEFT JOIN b USING (row_id))
  SELECT row_id, CASE WHEN x IS NULL AND a = '' THEN 'NA' WHEN x IS NULL THEN 'very_different' WHEN a = '' THEN 'snapped' WHEN a = x THEN 'confirmed' WHEN s < 0.5 THEN 'very_different' ELSE 'snapped' END AS status FROM c""")
 def l12(spark: SparkSession, d: str) -> DataFrame:
-    rows, plan, pool = tables(spark, d)
-    best = linkage.winners(linkage.evidence(rows, plan, pool, ("comp",))).select("row_id", F.col("of").alias("proposed"))
+    rows, _, _ = tables(spark, d)
+    best = linked(spark, d).best().select("row_id", F.col("of").alias("proposed"))
     return rows.join(best, "row_id", "left").select("row_id", linkage.cell(F.col("of"), F.col("proposed")).alias("status"))
 
 
@@ -102,7 +106,7 @@ def l1(spark: SparkSession, d: str) -> DataFrame:
  SELECT row_id, ROUND(own / (z + nul + rest), 9) AS p_modelo FROM t""",
 )
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.posterior(scored(spark, d), read(spark, d, "part").count()).select("row_id", "p_modelo")
+    return linked(spark, d).posterior(read(spark, d, "part").count()).select("row_id", "p_modelo")
 
 
 #: Rows as written, with measures; the order number with a letter O for each zero of every tenth, the thickness of every

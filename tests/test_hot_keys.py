@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sheetloom.operators import cells
+from sheetloom.operators import cells, linkage
 from sheetloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,17 @@ def test_keys_of_more_digits(spark, tmp_path, name):
     df = catalogue.queries()[name](spark, str(tmp_path))
     want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_candidates_that_score_alike_are_counted(spark):
+    """The winners, shares and evidence of whole pools, as from all pairs; what is counted is far less than the pairs."""
+    plan = spark.range(120).selectExpr("id as plan_ord", "cast(1000 + id div 2 as string) as of", "'7' as ov", "case when id % 3 = 0 then 'alpha' else 'beta' end as cliente", "case when id % 40 = 0 then 'other' else 'model' end as modelo", "cast(id % 4 as double) as comp")
+    rows = spark.range(60).selectExpr("id as row_id", "case when id % 4 = 0 then '' else cast(1000 + id as string) end as of", "'7' as ov", "'alpha' as cliente", "'model' as modelo", "case when id % 5 > 0 then cast(id % 4 as double) end as comp")
+    by = [["of"], ["ov", "modelo"]]
+    linked = linkage.Linked(rows, plan, by, ("comp",))
+    pairs = linkage.evidence(rows, plan, linkage.candidates(rows, plan, by), ("comp",))
+    assert sorted(map(repr, linked.scored.collect())) == sorted(map(repr, pairs.collect()))
+    assert sorted(map(repr, linked.winners().collect())) == sorted(map(repr, linkage.winners(pairs).collect()))
+    close = lambda df: sorted((r.row_id, *[pytest.approx(x, abs=2e-6) for x in r[1:]]) for r in df.collect())
+    assert [tuple(r) for r in sorted(linked.posterior(120).collect())] == close(linkage.posterior(pairs, 120))
+    assert linked.classes.count() * 3 < pairs.count()
