@@ -3,12 +3,16 @@ inside, so that none of them compares every row with every row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
+from ..session import reachable
 
 
 def filtered(df: DataFrame, **values: list | None) -> DataFrame:
@@ -125,6 +129,70 @@ def top_like(written: DataFrame, known: DataFrame, key: str, value: str, score,
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def edit_keys(codes: DataFrame, column: str, edits: int) -> DataFrame:
+    """(column, code): of each code, case aside, what is left of it after some characters were hidden and some taken out, at
+    most `edits` in all if one taken out counts twice. Two codes of one length are at most so many edits apart if and only if
+    they share such a code: where they differ both have a hidden character, or each lacks one that the other has."""
+    reachable()
+    ways = [(hidden, out) for out in range(edits // 2 + 1) for hidden in range(edits - 2 * out + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[str] = []
+            of: list[str] = []
+            for value, upper in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = set()
+                for hidden, out in ways:
+                    for gone in combinations(range(len(upper)), out):
+                        left = [c for i, c in enumerate(upper) if i not in gone] if gone else list(upper)
+                        for at in combinations(range(len(left)), hidden):
+                            x = left.copy()
+                            for i in at:
+                                x[i] = "\0"
+                            own.add(f"{out}{''.join(x)}")
+                held += own
+                of += [value] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(held, pa.string())], names=[column, "code"])
+
+    return codes.select(column, F.upper(column).alias("upper")).mapInArrow(run, f"`{column}` string, code string")
+
+
+def top_codes(written: DataFrame, known: DataFrame, key: str, value: str, k: int = 10, apart: int = 5) -> DataFrame:
+    """(key, value, score): as top_like by likeness, for short codes of which very many have one length. Those of one length
+    meet by the codes that they share with two edits. Of all known codes with a shared one the k first are enough: all are
+    so near, and order decides among them. A key whose k-th value isn't nearer than three edits is looked up
+    again with three, and one that isn't nearer than four then, among all codes of its length."""
+    n = lambda c: F.length(F.upper(c))
+    a, b = written.select(key).distinct().where(n(key) > 0), known.select(value).distinct().where(n(value) > 0)
+    scored = lambda pairs: pairs.select(key, similarity.likeness(F.col(key), F.col(value)).alias("score"), value).where("score > 0")
+    first = lambda df, by, *order: df.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_place") <= k).drop("_place")
+    # codes of unlike lengths, which have edits of their own or are within each other
+    lengths = b.withColumn("_n", F.explode(F.sequence(F.greatest(n(value) - apart, F.lit(1)), n(value) + apart))).where(F.col("_n") != n(value))
+    unlike = a.withColumn("_n", n(key)).join(lengths, "_n").select(key, value)
+    for part, parts, whole, wholes in ((key, a, value, b), (value, b, key, a)):
+        long = wholes.where(n(whole) > parts.agg(F.min(n(part))).scalar() + apart)
+        unlike = unlike.unionByName(within(parts, part, long, whole).select(key, value).where(n(whole) - n(part) > apart))
+    unlike = first(scored(unlike), key, F.desc("score"), value)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """(key, top): the k best of all pairs found."""
+        found = F.collect_set(F.struct((-F.col("score")).alias("s"), F.col(value).alias("v")))
+        return pairs.groupBy(key).agg(F.slice(F.sort_array(found), 1, k).alias("top"))
+
+    out, rest = [], a
+    for edits in (2, 3):
+        near = first(edit_keys(b, value, edits), "code", value)
+        top = best(scored(edit_keys(rest, key, edits).join(near, "code").select(key, value)).unionByName(unlike.join(rest, key, "left_semi") if out else unlike))
+        # the most that a code of the same length can have which wasn't found
+        more = F.lit(100.0) * (1 - F.lit(edits + 1) / n(key))
+        settled = (more <= 0) | F.coalesce(-F.get("top", F.lit(k - 1))["s"] > more, F.lit(False))
+        out.append(top.where(settled))
+        rest = rest.join(top.where(settled).select(key), key, "left_anti")
+    all_alike = rest.withColumn("_n", n(key)).join(b.withColumn("_n", n(value)), "_n").select(key, value)
+    out.append(best(first(scored(all_alike), key, F.desc("score"), value).unionByName(unlike.join(rest, key, "left_semi"))))
+    return reduce(DataFrame.unionByName, out).select(key, F.explode("top").alias("t")).select(key, F.col("t.v").alias(value), (-F.col("t.s")).alias("score"))
+
+
 def nearest_values(written: DataFrame, known: DataFrame, key: str, value: str, tolerance: float, k: int = 10) -> DataFrame:
     """(key, value, score, place): for each distinct written number the k known numbers nearest to it, and how like they are.
     Each written number is put among the known ones, and looks k of them back and k on."""

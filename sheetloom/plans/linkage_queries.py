@@ -228,7 +228,7 @@ def l2_misread(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of rows whose order number was misread, by the ten known numbers most like it."""
     rows, plan, _ = tables(spark, d)
     m = rows.where("of like '%1%9%'").select("row_id", F.replace("of", F.lit("1"), F.lit("7")).alias("of"), "ov", "modelo")
-    near = joins.top_like(m.select(F.col("of").alias("written")), plan.select(F.col("of").alias("known")), "written", "known", similarity.likeness)
+    near = joins.top_codes(m.select(F.col("of").alias("written")), plan.select(F.col("of").alias("known")), "written", "known")
     return linkage.candidates(m, plan, [], {"of": near})
 
 
