@@ -99,13 +99,20 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: floa
     return left.withColumn("_cell", cell(a)).join(r, ["_cell", *(on or [])]).where(F.abs(F.col(a) - F.col(b)) <= tolerance).drop("_cell")
 
 
-def grid_join(left: DataFrame, right: DataFrame, axes: list[tuple[str, str]], width: int) -> DataFrame:
-    """Pairs whose values lie in the same cell or in neighbouring ones on every axis."""
-    for i, (a, b) in enumerate(axes):
-        left = left.withColumn(f"_g{i}", F.floor(F.col(a) / width))
-        right = right.withColumn(f"_g{i}", F.explode(F.sequence(F.floor(F.col(b) / width) - 1, F.floor(F.col(b) / width) + 1)))
+def grid_join(left: DataFrame, right: DataFrame, axes: list[tuple[str, str]], width: int, keep: list[str] | None = None, block: int = 8192, share: int = 8192) -> DataFrame:
+    """Pairs whose values lie in the same cell or in neighbouring ones on every axis, with the right's columns (`keep`: those
+    of them). What the right has in a cell among `block` rows goes as one array, so that a left row meets arrays and not
+    rows; each `share` arrays of a cell go to a task of their own, where its left rows are sent, too."""
     keys = [f"_g{i}" for i in range(len(axes))]
-    return left.join(right, keys).drop(*keys)
+    right = right.withColumn("_b", F.floor(F.monotonically_increasing_id() / block))
+    for g, (a, b) in zip(keys, axes, strict=True):
+        left = left.withColumn(g, F.floor(F.col(a) / width))
+        right = right.withColumn(g, F.explode(F.sequence(F.floor(F.col(b) / width) - 1, F.floor(F.col(b) / width) + 1)))
+    held = right.groupBy(*keys, "_b").agg(F.collect_list(F.struct(*(keep or [c for c in right.columns if c not in ("_b", *keys)]))).alias("_e"))
+    shares = right.groupBy(*keys).agg(F.ceil(F.count("*") / share).alias("_n"))
+    dealt = held.join(shares, keys).withColumn("_s", F.pmod("_b", "_n")).drop("_b", "_n")
+    sent = left.join(shares, keys).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    return sent.join(dealt.hint("merge"), [*keys, "_s"]).select(*[c for c in left.columns if c not in keys], F.inline("_e"))
 
 
 def token_join(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 50, least: int = 5) -> DataFrame:

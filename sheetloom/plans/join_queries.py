@@ -72,7 +72,7 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 )
 def j16(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    return joins.grid_join(c, read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), [("c_acctbal", "p_retailprice"), ("c_nationkey", "p_size")], 30).select("c_custkey", "p_partkey")
+    return joins.grid_join(c, read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), [("c_acctbal", "p_retailprice"), ("c_nationkey", "p_size")], 30, ["p_partkey"]).select("c_custkey", "p_partkey")
 
 
 @query(
