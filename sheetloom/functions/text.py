@@ -107,12 +107,29 @@ def compact_model(c: Column) -> Column:
 def names_model(written: Column, designation: Column, least: int = 4) -> Column:
     """Whether a designation is of the model written: holds it, as written or in letters and digits alone, with any choice
     of 0 and O, or has it before its first dash."""
-    model, whole = F.upper(F.trim(written)), F.upper(F.trim(designation))
+    return model_named(model_written(written), model_designated(designation, least), least)
+
+
+def model_written(c: Column) -> Column:
+    """What `model_named` takes of a model as written."""
+    model = F.upper(F.trim(c))
+    return F.struct(model.alias("model"), zero_choices(model).alias("choices"), zero_choices(compact_model(c)).alias("bare"))
+
+
+def model_designated(c: Column, least: int = 4) -> Column:
+    """What `model_named` takes of a designation."""
+    whole = F.upper(F.trim(c))
     first = before_dash(whole)
-    bare, hay = compact_model(written), F.filter(F.array(compact_model(designation), compact_model(first)), lambda h: F.length(h) >= least)
-    inside = F.exists(zero_choices(bare), lambda v: (F.length(v) >= least) & F.exists(hay, lambda h: F.contains(h, v)))
+    hay = F.filter(F.array(compact_model(c), compact_model(first)), lambda h: F.length(h) >= least)
+    return F.struct(whole.alias("whole"), first.alias("first"), hay.alias("hay"))
+
+
+def model_named(written: Column, designated: Column, least: int = 4) -> Column:
+    """names_model of both sides, each made ready by itself."""
+    model, whole, first = written["model"], designated["whole"], designated["first"]
+    inside = F.exists(written["bare"], lambda v: (F.length(v) >= least) & F.exists(designated["hay"], lambda h: F.contains(h, v)))
     known = (F.length(model) >= least) & (whole != "")
-    return F.coalesce(known & (F.contains(whole, model) | ((first != "") & F.array_contains(zero_choices(model), first)) | inside), F.lit(False))
+    return F.coalesce(known & (F.contains(whole, model) | ((first != "") & F.array_contains(written["choices"], first)) | inside), F.lit(False))
 
 
 def swap(c: Column, k: Column) -> Column:

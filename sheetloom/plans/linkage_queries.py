@@ -121,8 +121,9 @@ SCORE = f"""CAST(w.of <> '' AND (w.of = q.of OR (length(regexp_replace(w.of, '[^
  + CAST(abs(w.esp - q.esp) <= 0.05 OR (w.esp >= 10 AND w.esp = floor(w.esp) AND w.esp / 10 BETWEEN 0.5 AND 15 AND abs(w.esp / 10 - q.esp) <= 0.05) AS INTEGER)"""
 
 
-def measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows, plan, pool = tables(spark, d)
+def measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as written, with k_<column>, by which they are met with entries; and entries, as e_<column>."""
+    rows, plan, _ = tables(spark, d)
     part = read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
     k, size = F.col("row_id"), F.col("p_size")
     w = rows.drop("comp").join(part, F.col("p_partkey") == k).select(
@@ -135,28 +136,49 @@ def measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
         (size + k % 3 * 6).alias("larg"),
         (size + k % 2 * 11).alias("lbase"),
         F.when(k % 2 == 0, size / 10).otherwise(size).cast("double").alias("esp"),
+        *[F.col(f).alias(f"k_{f}") for f in ("of", "ov", "modelo")],
     )
-    q = plan.drop("comp").join(part, F.col("p_partkey") == F.col("plan_ord")).select("plan_ord", "of", "ov", "cliente", "modelo", F.col("p_retailprice").alias("comp"), size.alias("larg"), size.alias("lbase"), (size / 10).alias("esp"), (size % 3).cast("string").alias("material"))
-    return w, q, pool
+    q = plan.drop("comp").join(part, F.col("p_partkey") == F.col("plan_ord")).select("plan_ord", "of", "ov", "cliente", "modelo", F.col("p_retailprice").alias("comp"), size.alias("larg"), size.alias("lbase"), (size / 10).alias("esp"), (size % 3).cast("string").alias("material"), size.alias("size"))
+    return w, q.select("plan_ord", *[F.col(c).alias(f"e_{c}") for c in q.columns[1:]])
+
+
+FIELDS = ("of", "ov", "cliente", "modelo", "comp", "larg", "lbase", "esp")
 
 
-def agreeing(spark: SparkSession, d: str) -> DataFrame:
-    w, q, pool = measured(spark, d)
-    fields = ("of", "ov", "cliente", "modelo", "comp", "larg", "lbase")
-    r, e = ({f: F.col(f"{side}.{f}") for f in fields} for side in "wq")
-    r["esp"], e["esp"] = similarity.number_variants(F.col("w.esp")), F.col("q.esp")
-    return pool.join(w.alias("w"), "row_id").join(q.alias("q"), "plan_ord").select("row_id", "plan_ord", linkage.match_score(r, e).alias("score"))
+def agreeing(spark: SparkSession, d: str, fields: list[str], held: list[Column]) -> tuple[DataFrame, DataFrame, Column, DataFrame]:
+    """Pairs equal in the order number alone, with score; rows met with kinds of entries (equal in all that is compared but the
+    order number, and in `fields`), with score so far; what the order number r_of adds for m_of; and entries with m_of."""
+    w, q = measured(spark, d)
+    r, e = {f: F.col(f) for f in FIELDS}, {f: F.col(f"e_{f}") for f in FIELDS}
+    r["esp"] = similarity.number_variants(F.col("esp"))
+    left, right = linkage.match_sides(r, e)
+    rows = w.select("row_id", *[c for c in w.columns if c.startswith("k_")], *[c.alias(f"r_{f}") for f, c in left.items()])
+    entries = q.withColumns({"m_of": right["of"], "part": F.floor(F.monotonically_increasing_id() / (1 << 18))})
+    ready = lambda df: df.withColumns({f"m_{f}": c for f, c in right.items() if f != "of"})
+    points = lambda *names: linkage.match_points({f: F.col(f"r_{f}") for f in names}, {f: F.col(f"m_{f}") for f in names})
+    single, kinds = linkage.met_by_kinds(rows, entries, "of", ["ov", "modelo"], [*[f"e_{f}" for f in FIELDS[1:]], *fields], held, ready)
+    return single.withColumn("score", points(*FIELDS)), kinds.withColumn("score", points(*FIELDS[1:])), points("of"), entries
 
 
 @query("l21_match_score", f"WITH {PLAN}, {POOL}, {WRITTEN} SELECT row_id, plan_ord, {SCORE} AS score FROM pool JOIN w USING (row_id) JOIN q USING (plan_ord)")
 def l21(spark: SparkSession, d: str) -> DataFrame:
-    return agreeing(spark, d)
+    # a kind's entries are held by the quarter million, so that none is too large for an array
+    many = [F.collect_list(F.struct("plan_ord", "m_of")).alias("held")]
+    single, kinds, more, _ = agreeing(spark, d, ["part"], many)
+    pairs = kinds.select("row_id", "score", "r_of", F.inline("held")).select("row_id", "plan_ord", (F.col("score") + more).alias("score"))
+    return single.select("row_id", "plan_ord", "score").unionByName(pairs)
 
 
 @query("l11_work_complete", f"WITH {PLAN}, {POOL}, {WRITTEN}, s AS (SELECT row_id, {SCORE} AS score, p_size % 5 >= 3 AS phase_full FROM pool JOIN w USING (row_id) JOIN q USING (plan_ord) JOIN part ON p_partkey = plan_ord) SELECT row_id, COALESCE(bool_and(phase_full) FILTER (score >= 1), FALSE) AS complete FROM s GROUP BY row_id")
 def l11(spark: SparkSession, d: str) -> DataFrame:
-    full = read(spark, d, "part").select(F.col("p_partkey").alias("plan_ord"), linkage.phase_full(F.lit(3.0), (F.col("p_size") % 5).cast("double")).alias("phase_full"))
-    return linkage.work_complete(agreeing(spark, d).join(full, "plan_ord"))
+    full = linkage.phase_full(F.lit(3.0), (F.col("e_size") % 5).cast("double"))
+    single, kinds, _, entries = agreeing(spark, d, [], [F.bool_and(full).alias("phase_full")])
+    # entries of the same sales order and model that have the order number only: those may agree in nothing else
+    alike = kinds.where("score = 0").select("row_id", "k_ov", "k_modelo", F.explode("r_of").alias("_of")).distinct()
+    rest = alike.join(entries, (F.col("_of") == F.col("m_of")) & (F.col("k_ov") == F.col("e_ov")) & (F.col("k_modelo") == F.col("e_modelo"))).where("m_of != ''")
+    of_pair = lambda df, score, own: df.select("row_id", score.alias("score"), own.alias("phase_full"))
+    pool = of_pair(single, F.col("score"), full).unionByName(of_pair(kinds, F.col("score"), F.col("phase_full"))).unionByName(of_pair(rest, F.lit(1), full))
+    return linkage.work_complete(pool)
 
 
 DIGITS = "len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, i, 1) <> substr({1}, i, 1)))"
@@ -171,13 +193,17 @@ DIGITS = "len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, i, 1)
  SELECT row_id, MAX(s)::DOUBLE AS score FROM s GROUP BY row_id""",
 )
 def l22(spark: SparkSession, d: str) -> DataFrame:
-    w, q, pool = measured(spark, d)
+    w, q = measured(spark, d)
     fields = ("ov", "cliente", "modelo", "comp", "lbase", "esp", "larg")
-    r, e = ({f: F.col(f"{side}.{f}") for f in fields} for side in "wq")
-    r |= {"ltopo": F.lit(None).cast("double"), "material": (F.col("row_id") % 3).cast("string")}
-    e |= {"ltopo": F.lit(None).cast("double"), "material": F.col("q.material")}
-    j = pool.join(w.alias("w"), "row_id").join(q.alias("q"), "plan_ord")
-    return j.select("row_id", linkage.halves_score(r, e).alias("s")).groupBy("row_id").agg(F.max("s").alias("score"))
+    none = F.lit(None).cast("double")
+    r = {f: F.col(f) for f in fields} | {"ltopo": none, "material": (F.col("row_id") % 3).cast("string")}
+    e = {f: F.col(f"e_{f}") for f in (*fields, "material")} | {"ltopo": none}
+    left, right = linkage.halves_sides(r, e)
+    rows = w.select("row_id", *[c for c in w.columns if c.startswith("k_")], *[c.alias(f"r_{f}") for f, c in left.items()])
+    ready = lambda df: df.withColumns({f"m_{f}": c for f, c in right.items()})
+    single, kinds = linkage.met_by_kinds(rows, q, "of", ["ov", "modelo"], [f"e_{f}" for f in (*fields, "material")], [F.count("*").alias("n")], ready)
+    score = linkage.halves_points({f: F.col(f"r_{f}") for f in left}, {f: F.col(f"m_{f}") for f in right})
+    return single.select("row_id", score.alias("s")).unionByName(kinds.where("n > 0").select("row_id", score.alias("s"))).groupBy("row_id").agg(F.max("s").alias("score"))
 
 
 @query(
