@@ -305,3 +305,16 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, df, "/root/testdata/sf0.001").toPandas()
     assert set(packed.doc_id) == {x.doc_id for x in df.select("doc_id").collect()}
     assert (packed.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_only_texts_that_are_asked_for_are_shuffled(spark):
+    """op6: a table of bits lets through the rows asked for and hardly any others; the rest pass with what they hold."""
+    df = spark.createDataFrame([(i, ("same passage " * 40 if i % 10 == 0 else "") + hashlib.sha256(str(i).encode()).hexdigest() * 8) for i in range(400)], "doc_id long, text string")
+    rows = suffix_dedup.keyed(df).drop("rest")
+    assert suffix_dedup.among(rows, rows.where("doc_id < 20").select("rid")).count() == 20
+    assert suffix_dedup.among(rows, rows.where("doc_id < 0").select("rid")).count() == 0
+    out = suffix_dedup.cleaned(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and plan.index("Union") < plan.index("Join LeftOuter")
+    assert {x.doc_id for x in out.where("n_removed > 0").collect()} == set(range(0, 400, 10))
+    assert out.count() == 400
