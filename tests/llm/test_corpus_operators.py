@@ -176,6 +176,35 @@ def test_first_kept_keeps_columns(spark):
     assert (got[1].text, got[2].text, got[2].n_chars, got[2].spans, got[3].text) == ("a" + p, "b", 1, "y", "")
 
 
+def test_planted_passages_show_in_what_is_left(spark):
+    """op6: of 400 bytes up a planted passage of over 50 words is gone from both its texts; shorter ones and clean texts stay whole."""
+    r = random.Random(11)
+    prose = lambda n, m: " ".join("".join(r.choices("abcdeé", k=r.randint(1, m))) for _ in range(n))
+    rows, planted = {}, {}
+    for i in range(0, 60, 2):
+        passage = prose(r.randint(51, 90), r.choice([6, 12]))
+        for d in (i, i + 1):
+            rows[d] = f"{prose(60, 9)} {{{passage}}} {prose(60, 9)}"
+            planted[d] = passage
+    rows |= {d: prose(150, 9) for d in range(100, 120)} | {200: "é" * 400, 201: "ab" + "é" * 400, 202: "é" * 100 + "x", 203: None}
+    got = {x.doc_id: x for x in suffix_dedup.digests(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    long = {d for d, p in planted.items() if len(p.encode()) >= suffix_dedup.SIZE}
+    assert len(long) > 10 and len(planted) - len(long) > 10
+    gone = {d for d, p in planted.items() if p not in got[d].text}
+    brute = {x[0]: x for x in brute_passages(list(rows.items()), suffix_dedup.SIZE, "none")}
+    assert long <= gone <= {d for d in rows if brute[d][2]} and len(set(planted) - gone) > 10
+    assert all(got[d].text == t for d, t in rows.items() if t and not brute[d][2]) and not any(brute[d][2] for d in range(100, 120)) and got[203].text == ""
+    assert all((got[d].n_removed, got[d].kept_sha256) == (brute[d][2], brute[d][4]) for d in rows)
+
+
+def test_cut_characters_show_as_replaced(spark):
+    """op6: a cut may go through a character."""
+    same = "é" * 50 + "b" * 400
+    df = spark.createDataFrame([(1, "ã" + same + "é"), (2, "é" + same + "è"), (3, "whole é")], "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.n_removed) for x in suffix_dedup.digests(df).collect()}
+    assert got == {1: (b"\xc3\xa3\xa9".decode("utf-8", "replace"), 501), 2: (b"\xc3\xa9\xa8".decode("utf-8", "replace"), 501), 3: ("whole é", 0)}
+
+
 # -- near copies -------------------------------------------------------------------------------------------------
 
 
