@@ -61,7 +61,7 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l5_bits", f"{BASE} SELECT row_id, plan_ord, bits, agree, raw, exact FROM scored")
 def l5(spark: SparkSession, d: str) -> DataFrame:
-    return linked(spark, d).scored.drop("of", "modelo")
+    return linked(spark, d).pairs().drop("modelo")
 
 
 @query(

@@ -56,3 +56,13 @@ def test_winners_meet_kinds(spark, copies, name):
     want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
     assert len(found) == 4000 and most < pairs // 2
+
+
+def test_bits_of_all_pairs_by_kinds(spark, copies):
+    """All pairs come out, and order numbers are not compared a pair at a time."""
+    d, duck, pairs = copies
+    df = catalogue.queries()["l5_bits"](spark, d)
+    found = df.collect()
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()['l5_bits']})").fetchall()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want)) and len(found) >= pairs
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
