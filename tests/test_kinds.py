@@ -48,7 +48,7 @@ def copies(tmp_path_factory):
     return str(d), duck, duck.execute("SELECT sum(n * n) FROM (SELECT count(*) AS n FROM part GROUP BY p_name, p_size)").fetchone()[0]
 
 
-@pytest.mark.parametrize("name", ["l12_cells", "l8_posterior", "l16_row_cells", "l7_winners"])
+@pytest.mark.parametrize("name", ["l12_cells", "l8_posterior", "l16_row_cells", "l7_winners", "w11_marginals"])
 def test_winners_meet_kinds(spark, copies, name):
     d, duck, pairs = copies
     df = catalogue.queries()[name](spark, d)
